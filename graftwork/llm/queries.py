@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graftwork.llm.contamination import leaks
+from graftwork.llm.content_filter import fit, score_documents
 from graftwork.llm.ledger import Ledger, json_keys, text_key
 from graftwork.llm.near_duplicates import near_duplicates
 from graftwork.llm.segment_index import repeats_of_history
@@ -81,7 +82,35 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return items.join(p7_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_documents")), "item_id", "left").select("item_id", "suite", F.coalesce("n_documents", F.lit(0)).alias("n_documents"))
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p3_found, p3_records, p4_found, p6_ids, p6_decoded, p7_found, p7_report)}
+#: From this far above the threshold a document is excluded, from this far below it is reviewed.
+EXCLUDE, REVIEW = 0.5, -0.3
+
+
+def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, float]:
+    documents = table(spark, d, "documents")
+    machine = fit(documents, table(spark, d, "review_labels"))
+    return score_documents(documents, machine), machine.threshold
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    scored, threshold = _scored(spark, d)
+    return scored.where(F.col("score") >= threshold).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its score and what to do with it."""
+    scored, threshold = _scored(spark, d)
+    decision = F.when(F.col("score") >= threshold + EXCLUDE, "exclude").when(F.col("score") >= threshold + REVIEW, "review").otherwise("keep")
+    return scored.select("doc_id", F.round("score", 6).alias("score"), decision.alias("decision"))
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of each source, and how many and what share of them hold such content; null sources are one group."""
+    marked = table(spark, d, "documents").select("doc_id", "source").join(p8_found(spark, d).distinct().withColumn("hit", F.lit(1)), "doc_id", "left")
+    return marked.groupBy("source").agg(F.count("*").alias("n_documents"), F.count("hit").alias("n_found"), F.round(F.count("hit") / F.count("*"), 6).alias("rate"))
+
+
+QUERIES = {q.__name__: q for q in (p2_found, p3_found, p3_records, p4_found, p6_ids, p6_decoded, p7_found, p7_report, p8_found, p8_scores, p8_rates)}
 
 _WORDS = "list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 _LETTERS = "lower(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}]+', '', 'g'))"
