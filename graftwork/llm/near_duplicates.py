@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graftwork.llm.common_words import CommonWords
-from graftwork.llm.words import Words, letters, mix, odd_sketch, words
+from graftwork.llm.words import Words, mix, odd_sketch
 
 BANDS, ROWS = 24, 4
 #: Exponent of a word's information in its weight, and weight levels (powers of two below the top).
@@ -33,6 +33,9 @@ GAMMA, LEVELS = 1.5, 7
 RARE = 2048
 #: 31, not 32: the sketch stays a non-negative INT, and Spark counts the bits of a negative one as of a BIGINT.
 SKETCH_BITS = 31
+#: A class travels as the first bits of its hash (two texts that share them cost a comparison, nothing else), a
+#: text's size up to SIZE_BITS; the exact test compares WORD_BYTES of each word's hash.
+CLASS_BITS, SIZE_BITS, WORD_BYTES = 40, 16, 5
 
 
 def weight_levels(information: np.ndarray, top: float, gamma: float = GAMMA, levels: int = LEVELS) -> np.ndarray:
@@ -104,12 +107,11 @@ def _signed(common, bands: int, rows: int, min_words: int, seed: int):
             w = Words(b.column(0))
             text, code = w.sets()
             n = np.bincount(text, minlength=b.num_rows)
-            big = n >= min_words
             class_ = w.text_hash(" ")
             fresh = np.zeros(b.num_rows, bool)  # copies within a task are sent once
             if len(seen) > 500_000:
                 seen = set()
-            for i in np.flatnonzero(big).tolist():
+            for i in np.flatnonzero(n >= min_words).tolist():
                 if (c := int(class_[i])) not in seen:
                     seen.add(c)
                     fresh[i] = True
@@ -117,17 +119,22 @@ def _signed(common, bands: int, rows: int, min_words: int, seed: int):
             text, code = text[keep], code[keep]
             if len(known) > 200_000:
                 known, table = {}, table[:0]
-            new = [i for i, h in enumerate(w.hash.tolist()) if h not in known]
+            words_ = w.hash.tolist()
+            new = [i for i, h in enumerate(words_) if h not in known]
             if new:
                 for i in new:
-                    known[int(w.hash[i])] = len(known)
+                    known[words_[i]] = len(known)
                 level = weight_levels(weights.information(w.hash[new], RARE), np.log(RARE))
                 table = np.concatenate([table, hasher.arrivals(w.hash[new], level)])
-            row = np.array([known[h] for h in w.hash.tolist()], np.int64)
+            row = np.array([known[h] for h in words_], np.int64)
             keys = band_keys(hasher.signatures(text, row[code], table, b.num_rows), bands, rows)[fresh]
             sketch = odd_sketch(w.hash[code], text, b.num_rows, SKETCH_BITS)[fresh]
-            lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(class_[fresh].view(np.int64)), pa.array(sketch.astype(np.uint32).view(np.int32)), pa.array(n[fresh].astype(np.int16)), lists], ["class", "sketch", "size", "keys"])
+            size = np.minimum(n[fresh], (1 << SIZE_BITS) - 1).astype(np.uint64)
+            name = class_[fresh] >> np.uint64(64 - CLASS_BITS)
+            # 40 bits of the key and 24 of the class; 16 of the class, the sketch and the size
+            first = (keys & ~np.uint64((1 << 24) - 1)) | (name >> np.uint64(16))[:, None]
+            second = ((name & np.uint64(0xFFFF)) << np.uint64(47)) | (sketch << np.uint64(SIZE_BITS)) | size
+            yield pa.RecordBatch.from_arrays([pa.array(first.ravel().view(np.int64)), pa.array(np.repeat(second, bands).view(np.int64))], ["k", "v"])
 
     return run
 
@@ -136,18 +143,50 @@ def candidate_classes(texts: DataFrame, least: float, min_words: int, bands: int
     """a, b: pairs of classes (a < b) that share a band and pass the sketch."""
     spark = texts.sparkSession
     common = spark.sparkContext.broadcast(CommonWords.of(texts, rare=RARE))
-    signed = texts.mapInArrow(_signed(common, bands, rows, min_words, seed), "class long, sketch int, size short, keys array<long>")
-    rows_ = signed.select("class", "sketch", "size", F.explode("keys").alias("key"))
-    left = rows_.repartition("key")
-    right = left.select(F.col("key"), F.col("class").alias("class2"), F.col("sketch").alias("sketch2"), F.col("size").alias("size2"))
+    packed = texts.mapInArrow(_signed(common, bands, rows, min_words, seed), "k long, v long")
+    left = packed.select(F.shiftrightunsigned("k", 24).alias("key"), F.col("k").bitwiseAND((1 << 24) - 1).alias("part"), "v").repartition("key")
+    right = left.select(F.col("key"), F.col("part").alias("part2"), F.col("v").alias("v2"))
+    name = lambda part, v: F.shiftleft(part, 16).bitwiseOR(F.shiftrightunsigned(v, 47))
+    sketch = lambda v: F.shiftrightunsigned(v, SIZE_BITS).bitwiseAND((1 << SKETCH_BITS) - 1)
+    size = lambda v: v.bitwiseAND((1 << SIZE_BITS) - 1)
     both = left.hint("merge").join(right, "key")
-    pairs = both.where((F.col("class") < F.col("class2")) & may_be_alike(F.col("sketch"), F.col("sketch2"), F.col("size"), F.col("size2"), least))
-    return pairs.select(F.col("class").alias("a"), F.col("class2").alias("b")).distinct()
+    fits = may_be_alike(sketch(F.col("v")), sketch(F.col("v2")), size(F.col("v")), size(F.col("v2")), least)
+    pairs = both.where((F.col("v") != F.col("v2")) & fits).select(name(F.col("part"), F.col("v")).alias("a"), name(F.col("part2"), F.col("v2")).alias("b"))
+    return pairs.where("a < b").distinct()
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(Words(b.column(1)).text_hash(" ").view(np.int64)), b.column(1)], ["id", "class", "text"])
+def _facts(min_words: int):
+    """class, letters and the distinct words of each text that has enough of them, for the exact test."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w = Words(b.column(1))
+            text, code = w.sets()
+            n = np.bincount(text, minlength=b.num_rows)
+            keep = n >= min_words
+            prints = w.hash[code][keep[text]]
+            blob = prints[:, None].view(np.uint8)[:, 8 - WORD_BYTES :].tobytes()
+            ends = np.r_[0, np.cumsum(n[keep])] * WORD_BYTES
+            facts = pa.Array.from_buffers(pa.binary(), int(keep.sum()), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(blob)])
+            name = (w.text_hash(" ")[keep] >> np.uint64(64 - CLASS_BITS)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), pa.array(name), pa.array(w.text_hash("")[keep].view(np.int64)), facts], ["id", "class", "letters", "words"])
+
+    return run
+
+
+def _alike(least: float, kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cut = lambda x: {x[k : k + WORD_BYTES] for k in range(0, len(x), WORD_BYTES)}
+            keep = []
+            for x, y in zip(b["words_a"].to_pylist(), b["words_b"].to_pylist(), strict=True):
+                s, t = cut(x), cut(y)
+                both = len(s & t)
+                keep.append(both * 1000 >= (len(s) + len(t) - both) * round(least * 1000))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b["id_a"].filter(mask), b["id_b"].filter(mask)], ["id_a", "id_b"])
+
+    return run
 
 
 def jaccard_at_least(a: Column, b: Column, least: float) -> Column:
@@ -159,13 +198,11 @@ def jaccard_at_least(a: Column, b: Column, least: float) -> Column:
 def near_duplicates(df: DataFrame, id_: str, text: str, least: float = 0.8, min_words: int = 8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """id_a, id_b (id_a < id_b): records whose texts are alike but do not have the same letters."""
     rows_in = df.select(F.col(id_).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    kind = rows_in.schema["id"].dataType.simpleString()
     pairs = candidate_classes(rows_in.select("text"), least, min_words, bands, rows)
-    classed = rows_in.mapInArrow(_classes, f"id {rows_in.schema['id'].dataType.simpleString()}, class long, text string").repartition("class")
-    one = classed.groupBy("class").agg(F.min("text").alias("text"))
-    a = pairs.join(one.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
-    b = a.join(one.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
-    wa, wb = F.array_distinct(words(F.col("text_a"))), F.array_distinct(words(F.col("text_b")))
-    true = b.where(letters(F.col("text_a")) != letters(F.col("text_b"))).select("a", "b", wa.alias("wa"), wb.alias("wb")).where(jaccard_at_least(F.col("wa"), F.col("wb"), least)).select("a", "b")
-    members = classed.select("class", "id").distinct()
-    out = true.join(members.select(F.col("class").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("class").alias("b"), F.col("id").alias("y")), "b")
-    return out.where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    facts = rows_in.mapInArrow(_facts(min_words), f"id {kind}, class long, letters long, words binary").repartition("class")
+    one = facts.select(F.col("class").alias("a"), F.col("id").alias("x"), F.col("letters").alias("letters_a"), F.col("words").alias("words_a"))
+    two = facts.select(F.col("class").alias("b"), F.col("id").alias("y"), F.col("letters").alias("letters_b"), F.col("words").alias("words_b"))
+    told = pairs.join(one, "a").join(two, "b").where("x <> y AND letters_a <> letters_b")
+    ordered = told.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "words_a", "words_b")
+    return ordered.mapInArrow(_alike(least, kind), f"id_a {kind}, id_b {kind}").distinct()

@@ -74,7 +74,8 @@ class Words:
 
     def sets(self) -> tuple[np.ndarray, np.ndarray]:
         """Each text's distinct words: (text, code) pairs, sorted by text."""
-        pairs = np.unique(self.text * max(1, len(self.distinct)) + self.code)
+        pairs = np.sort(self.text * max(1, len(self.distinct)) + self.code)
+        pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]] if len(pairs) else pairs
         return pairs // max(1, len(self.distinct)), pairs % max(1, len(self.distinct))
 
 
