@@ -22,6 +22,7 @@ scores everything ``NOTHING``. Repeated rows of documents give repeated rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,7 @@ class Passages:
         self.end = np.where(whole, start_ + size_, self.start + WINDOW)
         self.text = text[self.start] if len(self.start) else np.empty(0, np.int64)
 
+    @cached_property
     def features(self) -> list[tuple[np.ndarray, float]]:
         """For each kind of subsequence: the feature that starts at each byte, and its weight."""
         b = np.r_[self.bytes, np.zeros(5, np.uint8)].astype(np.uint32)
@@ -108,7 +110,7 @@ class Passages:
         """Decision of the folded machine for each passage."""
         total = np.zeros(len(self.bytes) + 1)
         each = np.zeros(len(self.bytes), np.float32)
-        for h, w in self.features():
+        for h, w in self.features:
             each += weights[h] * np.float32(w)
         np.cumsum(each, out=total[1:])
         return (total[self.end - 4] - total[self.start]) / self.norm() + bias
@@ -127,24 +129,37 @@ def _vectors(p: Passages, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     at = np.repeat(p.start[which], length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
     scale = (1 / p.norm()[which])[row]
     rows, cols, values = [], [], []
-    for h, w in p.features():
+    for h, w in p.features:
         rows.append(row)
         cols.append(h[at])
         values.append(scale * w)
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(values).astype(np.float32)
 
 
-def kernel_with(p: Passages, which: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Kernel of passages with the landmarks, whose feature vectors are the columns of ``table``."""
-    out = np.zeros((len(which), table.shape[1]), np.float32)
-    for a in range(0, len(which), 500):
-        row, col, value = _vectors(p, which[a : a + 500])
-        order = np.argsort(row, kind="stable")
-        row, col, value = row[order], col[order], value[order]
-        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else []
-        for s, e, r in zip(first, np.r_[first[1:], len(row)], row[first] if len(row) else [], strict=True):
-            out[a + r] = value[s:e] @ table[col[s:e]]
-    return out
+class Landmarks:
+    """The features of the landmark passages, by feature."""
+
+    def __init__(self, p: Passages, which: np.ndarray):
+        row, col, value = _vectors(p, which)
+        order = np.argsort(col, kind="stable")
+        self.n, self.row, self.col, self.value = len(which), row[order], col[order], value[order]
+        self.start = np.searchsorted(self.col, np.arange((1 << BITS) + 1))
+
+    def kernel(self, p: Passages, which: np.ndarray) -> np.ndarray:
+        """Kernel of passages with each landmark."""
+        out = np.zeros((len(which), self.n), np.float32)
+        for a in range(0, len(which), 100):
+            part = which[a : a + 100]
+            row, col, value = _vectors(p, part)
+            n = self.start[col + 1] - self.start[col]
+            at = np.repeat(self.start[col] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            cell = np.repeat(row, n) * self.n + self.row[at]
+            out[a : a + 100] = np.bincount(cell, np.repeat(value, n) * self.value[at], len(part) * self.n).reshape(len(part), self.n)
+        return out
+
+    def fold(self, beta: np.ndarray) -> np.ndarray:
+        """One weight for each feature: the landmarks' features times their coefficients."""
+        return np.bincount(self.col, self.value * beta[self.row], 1 << BITS).astype(np.float32)
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 20) -> tuple[np.ndarray, float]:
@@ -195,28 +210,27 @@ class Machine:
             neg = np.union1d(hard, rng.choice(neg, min(len(neg), HARD), replace=False))
             odd = pos[np.argsort(score[pos], kind="stable")[: landmarks // 4]]  # leaders that are not yet explained
             marks = np.r_[np.union1d(odd, rng.permutation(pos)[: landmarks // 4]), rng.permutation(hard)[: landmarks // 4], rng.permutation(neg)[: landmarks // 4]]
-            row, col, value = _vectors(p, marks)
-            table = np.zeros((1 << BITS, len(marks)), np.float32)
-            np.add.at(table, (col, row), value)
+            held = Landmarks(p, marks)
             which = np.r_[pos, neg]
-            val, vec = np.linalg.eigh(kernel_with(p, marks, table).astype(np.float64))
+            val, vec = np.linalg.eigh(held.kernel(p, marks).astype(np.float64))
             keep = val > 1e-5 * val[-1]
             to = vec[:, keep] / np.sqrt(val[keep])
-            x, y = kernel_with(p, which, table) @ to, np.where(np.arange(len(which)) < len(pos), 1.0, -1.0)
+            x, y = held.kernel(p, which) @ to, np.where(np.arange(len(which)) < len(pos), 1.0, -1.0)
             cost = np.where(y > 0, COST * max(1.0, len(neg) / len(pos) / 4), COST)
             w, bias = squared_hinge(x, y, cost)
-            weights = (table @ (to @ w)).astype(np.float32)
+            weights = held.fold(to @ w)
         worst = p.worst(weights, bias, len(texts))
         return cls(weights, bias, _best_threshold(worst, positive))
 
 
 def _odds(p: Passages, positive: np.ndarray) -> np.ndarray:
     """First guess: log odds of the unbroken subsequences by the texts that hold them."""
-    first = p.features()[0][0]
+    first = p.features[0][0]
     if not len(p.start):
         return np.zeros(1 << BITS, np.float32)
     text_at = p.text[np.clip(np.searchsorted(p.start, np.arange(len(first)), "right") - 1, 0, None)]
-    pairs = np.unique(text_at.astype(np.int64) << BITS | first)
+    pairs = np.sort(text_at.astype(np.int64) << BITS | first)
+    pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
     held = [np.bincount(mine & ((1 << BITS) - 1), minlength=1 << BITS) for mine in (pairs[positive[pairs >> BITS] == label] for label in (False, True))]
     ratio = positive.sum() / max(1, (~positive).sum())
     return np.log((held[1] + 1) / (ratio * held[0] + 1)).astype(np.float32)
