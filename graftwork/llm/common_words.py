@@ -3,6 +3,10 @@
 The counts cover every text. A word is common when at least one text in ``RARE`` holds it; with w
 distinct words in an average text no more than w * RARE words can be, however large the corpus: that is
 the proven bound on what is sent to the tasks.
+
+A word that one text alone holds can't be shared with any other. ``shared`` marks the words of two texts or more in a bitmap of
+fixed size (``SLOTS`` bits), so that the others may be left out of a signature. Where two words meet in one slot, a word is
+taken for a shared one; the bitmap never calls a shared word unshared.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from pyspark.sql import functions as F
 from graftwork.llm.words import Words
 
 RARE = 4096
+SLOTS = 1 << 27
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -33,23 +38,52 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array(held.values(), pa.int64())], ["word", "n"])
 
 
+def slot_bit() -> str:
+    """SQL of the bit, within its block of 64, of the slot of ``word``."""
+    return f"shiftrightunsigned(word, {64 - (SLOTS.bit_length() - 1)}) & 63"
+
+
 class CommonWords:
     """hash (sorted) and count of the common words, and the number of texts."""
 
-    def __init__(self, hash_: np.ndarray, count: np.ndarray, texts: int):
+    def __init__(self, hash_: np.ndarray, count: np.ndarray, texts: int, block: np.ndarray | None = None, bits: np.ndarray | None = None):
         order = np.argsort(hash_)
         self.hash, self.count, self.texts = hash_[order], count[order], texts
+        self.block = self.bits = None
+        if block is not None:
+            order = np.argsort(block)
+            self.block, self.bits = block[order], bits[order].view(np.uint64)
 
     @classmethod
-    def of(cls, *texts: DataFrame, rare: int = RARE) -> CommonWords:
-        """texts: frames whose only column is the text."""
+    def of(cls, *texts: DataFrame, rare: int = RARE, shared: bool = False) -> CommonWords:
+        """texts: frames whose only column is the text. shared: also mark the words that two texts or more hold."""
         n_texts = sum(t.count() for t in texts)
         parts = [t.mapInArrow(_counts, "word long, n long") for t in texts]
         whole = parts[0]
         for p in parts[1:]:
             whole = whole.unionByName(p)
-        kept = whole.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * rare >= n_texts).toArrow()
-        return cls(kept["word"].to_numpy().view(np.uint64), kept["n"].to_numpy(), n_texts)
+        counts = whole.groupBy("word").agg(F.sum("n").alias("n"))
+        common = F.col("n") * rare >= n_texts
+        kept = counts.where(common).select(F.lit(0).alias("kind"), "word", "n")
+        if shared:
+            slot = F.shiftrightunsigned("word", 64 - (SLOTS.bit_length() - 1))
+            marks = counts.where((F.col("n") > 1) & ~common).groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({slot_bit()} as int))")).alias("n"))
+            kept = kept.unionByName(marks.select(F.lit(1).alias("kind"), "word", "n"))
+        t = kept.toArrow()
+        kind, word, n = (t[c].to_numpy() for c in ("kind", "word", "n"))
+        c, m = kind == 0, kind == 1
+        return cls(word[c].view(np.uint64), n[c], n_texts, *((word[m], n[m]) if shared else ()))
+
+    def is_shared(self, hash_: np.ndarray) -> np.ndarray:
+        """Whether another text may hold the word (common words always)."""
+        if self.block is None:
+            return np.ones(len(hash_), bool)
+        slot = (hash_ >> np.uint64(64 - (SLOTS.bit_length() - 1))).astype(np.int64)
+        out = np.isin(hash_, self.hash)
+        if len(self.block):
+            at = np.minimum(np.searchsorted(self.block, slot >> 6), len(self.block) - 1)
+            out |= (self.block[at] == slot >> 6) & ((self.bits[at] >> (slot & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+        return out
 
     def information(self, hash_: np.ndarray, rare: int = RARE) -> np.ndarray:
         """ln(texts / texts with the word); words that are not common count as held by one text in ``rare``."""

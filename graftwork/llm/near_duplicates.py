@@ -1,7 +1,7 @@
 """Near-duplicate records with small edits.
 
 Every distinct text (by its words in order) is a bag of its words, each weighted by how much it tells
-(its rarity over all texts, in powers of two). ``BagMinHash`` gives a signature whose positions agree
+(its rarity over all texts, in powers of two; a word that no other text holds weighs nothing). ``BagMinHash`` gives a signature whose positions agree
 with the probability of the bags' weighted Jaccard similarity. Bands of the signature
 meet in one shuffle; pairs that share a band are tested against a parity sketch that travels along
 and never refuses a true pair, and the few that remain are verified on the words themselves.
@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from graftwork.llm.common_words import CommonWords
 from graftwork.llm.words import Words, mix, odd_sketch
 
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 22, 4
 #: Exponent of a word's information in its weight, and weight levels (powers of two below the top).
-GAMMA, LEVELS = 1.5, 7
+GAMMA, LEVELS = 1.0, 7
 #: A word is rare (and has the top weight) when fewer than one text in so many holds it.
 RARE = 2048
 #: 31, not 32: the sketch stays a non-negative INT, and Spark counts the bits of a negative one as of a BIGINT.
@@ -125,6 +125,7 @@ def _signed(common, bands: int, rows: int, min_words: int, seed: int):
                 for i in new:
                     known[words_[i]] = len(known)
                 level = weight_levels(weights.information(w.hash[new], RARE), np.log(RARE))
+                level[~weights.is_shared(w.hash[new])] = -1  # no weight: nobody else holds the word
                 table = np.concatenate([table, hasher.arrivals(w.hash[new], level)])
             row = np.array([known[h] for h in words_], np.int64)
             keys = band_keys(hasher.signatures(text, row[code], table, b.num_rows), bands, rows)[fresh]
@@ -142,7 +143,7 @@ def _signed(common, bands: int, rows: int, min_words: int, seed: int):
 def candidate_classes(texts: DataFrame, least: float, min_words: int, bands: int = BANDS, rows: int = ROWS, seed: int = 1) -> DataFrame:
     """a, b: pairs of classes (a < b) that share a band and pass the sketch."""
     spark = texts.sparkSession
-    common = spark.sparkContext.broadcast(CommonWords.of(texts, rare=RARE))
+    common = spark.sparkContext.broadcast(CommonWords.of(texts, rare=RARE, shared=True))
     packed = texts.mapInArrow(_signed(common, bands, rows, min_words, seed), "k long, v long")
     left = packed.select(F.shiftrightunsigned("k", 24).alias("key"), F.col("k").bitwiseAND((1 << 24) - 1).alias("part"), "v").repartition("key")
     right = left.select(F.col("key"), F.col("part").alias("part2"), F.col("v").alias("v2"))
