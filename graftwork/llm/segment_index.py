@@ -1,7 +1,8 @@
 """Deduplicating new batches against all history by a segment index.
 
 Two texts within a few word edits of each other (words changed, inserted, dropped, blocks moved) still share an unbroken
-run of words. A stored text is cut, once, into consecutive segments; segment i starts where segment i - 1 ended. A new text
+run of words. A stored text is cut, once, into consecutive segments; segment i starts where segment i - 1 ended. (It is cut a second time from
+the middle of the first segment on, so that edits spread over all segments of one cut still miss some of the other.) A new text
 probes with the substrings that could be such segments and reads nothing else of the history.
 
 A segment ends as soon as its words tell ``MASS`` (in thousandths of natural units of information over all
@@ -83,8 +84,9 @@ def _rows(common, stored: bool, min_words: int):
             for need, fit in ((MASS, size >= min_words), (LIGHT_MASS, (size >= min_words) & (whole <= MASS * LIGHT * (1 if stored else 1.5)))):
                 ends = segment_ends(mass, w.start, need)
                 if stored:
-                    at = w.start[:-1][fit]
-                    at = at[at < len(ends)]
+                    # two rows of segments: from the first word, and from the middle of the first segment
+                    at = w.start[:-1][fit & (w.size > 0)]
+                    at = np.unique(np.r_[at, at + np.maximum(ends[at] - at, 0) // 2])
                     while len(at):
                         at = at[ends[at] > 0]
                         keys.append(runs.of(at, ends[at]))
