@@ -5,7 +5,7 @@
 2. The distinct pre-tokens of all blocks meet in one shuffle, and each is encoded exactly once.
 3. Their ids are joined back to the blocks, and the texts are put together again by position.
 
-``decode`` goes the other way: ids join the table of token bytes and are concatenated by position.
+``decode`` goes the other way: ids join the table of token bytes, which is as large as the vocabulary, and are concatenated by position.
 
 Defined results: null and empty texts have an empty list. Text that looks like a special token is plain
 text. Very long texts are a block of their own. A repeated row gives a repeated row.
@@ -20,8 +20,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graftwork.scratch import Scratch
@@ -131,15 +132,30 @@ def encode_corpus(df: DataFrame, id_: str, text: str, path: str, pattern: str) -
     return whole.select("ids", "lengths", "codes", F.coalesce("table", F.array().cast("array<struct<i:int,ids:array<int>>>")).alias("table")).mapInArrow(_assemble, "doc_id long, ids array<int>")
 
 
-def token_bytes(spark: SparkSession, path: str) -> DataFrame:
-    """id, bytes of the vocabulary: a table whose size the vocabulary fixes."""
-    ranks = _ranks(path)
-    return spark.createDataFrame(pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(ranks.keys(), pa.binary())}))
+def _decode(table):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, first = table.value
+        size = np.diff(first)
+        for b in batches:
+            for a in range(0, b.num_rows, 500):
+                part = b.slice(a, 500)
+                lists = part.column(1)
+                ids = lists.flatten().to_numpy()
+                ends = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]
+                n = size[ids]
+                at = np.r_[0, np.cumsum(n)]
+                data = flat[np.arange(at[-1]) + np.repeat(first[ids] - at[:-1], n)].tobytes()
+                texts = [data[s:e].decode("utf-8", "replace") for s, e in zip(at[ends[:-1]].tolist(), at[ends[1:]].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return run
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, text of doc_id, ids rows (doc_id unique)."""
-    parts = encoded.select("doc_id", F.posexplode_outer("ids").alias("i", "id"))
-    told = parts.join(token_bytes(encoded.sparkSession, path), "id", "left")
-    ordered = told.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", F.hex("bytes").alias("h")))).alias("parts"))
-    return ordered.select("doc_id", F.decode(F.unhex(F.array_join(F.col("parts.h"), "")), "UTF-8").alias("text"))
+    """doc_id, text of doc_id, ids rows: ids join the table of token bytes, whose size the vocabulary fixes, on the map side."""
+    ranks = _ranks(path)
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for piece, k in ranks.items():
+        pieces[k] = piece
+    table = np.frombuffer(b"".join(pieces), np.uint8), np.r_[0, np.cumsum([len(x) for x in pieces])]
+    return encoded.select("doc_id", "ids").mapInArrow(_decode(encoded.sparkSession.sparkContext.broadcast(table)), "doc_id long, text string")
