@@ -1,7 +1,7 @@
 """Connected components of an undirected graph.
 
 Each partition joins its own links by a disjoint-set forest and keeps one star for each of its components; the stars
-are merged four partitions into one as long as a merge task stays under ``merge_rows`` links. What
+are merged eight partitions into one as long as a merge task stays under ``merge_rows`` links. What
 is left between larger partitions is joined by rounds of large-star and small-star, which are plain aggregates and joins.
 """
 
@@ -53,7 +53,7 @@ def components(links: DataFrame, a: str, b: str, merge_rows: int = MERGE_ROWS) -
     level = scratch.keep(pairs.mapInArrow(_stars, STARS))
     parts, least = int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, -(-level.count() // merge_rows))
     while parts > least:
-        parts = max(least, parts // 4)
+        parts = max(least, parts // 8)
         new = scratch.keep((level.repartition(parts, "rep") if parts > 1 else level.coalesce(1)).mapInArrow(_stars, STARS))
         scratch.drop(level)
         level = new

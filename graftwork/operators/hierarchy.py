@@ -6,7 +6,7 @@
 2. every partition runs a weighted disjoint-set forest over its own links: a node points to the
    farthest ancestor that the partition knows, and the offset is the number of links between;
 3. only pointers of nodes that others point to ("boundary") move on. They are merged level by
-   level, four partitions into one, as long as a merged partition stays under ``merge_rows``
+   level, eight partitions into one, as long as a merged partition stays under ``merge_rows``
    links; what is left between the last partitions is resolved by doubling joins. A merge task
    therefore never holds more than ``merge_rows`` links, however large the table is;
 4. nodes whose pointers never end lie on a cycle or below one; their own links are looked at alone.
@@ -105,7 +105,7 @@ def _merged(boundary: DataFrame, merge_rows: int) -> DataFrame:
     n = level.count()
     parts, least = int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, -(-n // merge_rows))
     while parts > least:
-        parts = max(least, parts // 4)
+        parts = max(least, parts // 8)
         # ranges of one hash: the partitions of a level are unions of those of the level below
         slot = F.shiftrightunsigned(F.xxhash64("node"), 33) * parts / F.lit(2**31)
         new = scratch.keep(level.repartition(parts, F.floor(slot)).mapInArrow(_local, POINTERS)) if parts > 1 else scratch.keep(level.coalesce(1).mapInArrow(_local, POINTERS))

@@ -3,11 +3,11 @@
 ``orphan_references`` lists the references whose record is missing, was already retired or comes
 only later; ``orphan_report`` counts them by table and period.
 
-Keys are spread over ranges of a mixed 128-bit key. A range's parents are packed into one row as
-sorted arrays; references travel packed as well, as batches of one range each. The two meet in a join
-on the range, and every reference batch is probed by binary search. A hot key makes many batches of
-one range: they are separate rows of the join, so a skewed range splits into tasks instead of
-gathering in one, and a range's parents stay near ``RANGE_KEYS`` rows at every size of the table.
+Keys are spread over ranges of their hash. A range's parents become one sorted array, its references follow in the same
+stream and are probed by binary search, batch by batch: a task holds one range's parents (about ``RANGE_KEYS``
+rows at every size of the table) and one batch. References are counted by range first; a range with more than
+its share (a key that a third of all rows name) is split over as many slices as it fills shares, and its parents go to
+each slice. There are never more such ranges than twice the partitions.
 
 Defined results: null reference: no case. A value that is no UUID: a case. Null time: a case (nothing
 is known to exist then). Null accepted_at: the record never exists. Repeated rows (same table,
@@ -26,80 +26,58 @@ from pyspark.sql import functions as F
 from graftwork.functions.ids import hex_digits
 
 RANGE_KEYS = 1 << 15
-#: References of one range that travel in one row.
-BATCH_REFS = 1 << 13
 NEVER = np.iinfo(np.int64).max
-_NIBBLE = np.full(256, 255, np.uint8)
-_NIBBLE[np.frombuffer(b"0123456789abcdef", np.uint8)] = np.arange(16, dtype=np.uint8)
 
 
-def key_pairs(hexes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit numbers for each value of 32 hex digits; the first is mixed (one-to-one given the second), so that ranges fill evenly."""
-    flat = np.frombuffer("".join(hexes.to_pylist()).encode(), np.uint8)
-    nibbles = _NIBBLE[flat].reshape(-1, 32)
-    words = ((nibbles[:, 0::2] << 4) | nibbles[:, 1::2]).view(">u8").astype(np.uint64)
-    hi, lo = words[:, 0], words[:, 1]
-    x = hi ^ ((lo << np.uint64(31)) | (lo >> np.uint64(33)))
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(31)), lo
+class Parents:
+    """The parents of one range: keys as two numbers, sorted, with the time in force."""
 
+    def __init__(self, key: np.ndarray, start: np.ndarray, end: np.ndarray):
+        order = np.lexsort((key[:, 1], key[:, 0]))
+        self.high, self.low, self.start, self.end = key[order, 0], key[order, 1], start[order], end[order]
 
-def _pack(kinds: str, bits: int, most: int, sort: bool):
-    """mapInArrow function: rows of one range to packed arrays, at most so many rows a pack."""
+    def in_force(self, key: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether a parent of each key is in force at each time."""
+        found = np.zeros(len(key), bool)
+        left, right = np.searchsorted(self.high, key[:, 0], "left"), np.searchsorted(self.high, key[:, 0], "right")
+        open_ = np.flatnonzero(left < right)
+        while len(open_):
+            k = left[open_]
+            found[open_] |= (self.low[k] == key[open_, 1]) & (self.start[k] <= at[open_]) & (self.end[k] > at[open_])
+            left[open_] += 1
+            open_ = open_[(left[open_] < right[open_]) & ~found[open_]]
+        return found
+
+
+_NONE = Parents(np.empty((0, 2), np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            h, lo = key_pairs(b["hex"])
-            rng = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
-            order = np.argsort(rng, kind="stable")
-            cols = [h, lo] + [b[name].cast(pa.int64()).to_numpy(zero_copy_only=False) for name in ("a", "b", "c")]
-            rng, cols = rng[order], [x[order] for x in cols]
-            starts = np.flatnonzero(np.r_[True, rng[1:] != rng[:-1]])
-            out: list[list] = [[] for _ in range(6)]
-            for s, e in zip(starts, np.r_[starts[1:], len(rng)], strict=True):
-                for f in range(s, e, most):
-                    t = min(e, f + most)
-                    out[0].append(int(rng[f]))
-                    for k, x in enumerate(cols):
-                        out[k + 1].append(x[f:t].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], ["rng", "h", "lo", "a", "b", "c"])
-
-    return run
-
-
-def probe(parents: tuple[np.ndarray, ...], h: np.ndarray, lo: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether a parent (sorted by h) of that key is in force at that time."""
-    ph, plo, start, end = parents
-    found = np.zeros(len(h), bool)
-    left, right = np.searchsorted(ph, h, "left"), np.searchsorted(ph, h, "right")
-    open_ = np.flatnonzero(left < right)
-    while len(open_):
-        k = left[open_]
-        found[open_] |= (plo[k] == lo[open_]) & (start[k] <= at[open_]) & (end[k] > at[open_])
-        left[open_] += 1
-        open_ = open_[(left[open_] < right[open_]) & ~found[open_]]
-    return found
+
+def _key(a: pa.Array) -> np.ndarray:
+    """16-byte values as pairs of numbers whose order is that of the bytes."""
+    return np.frombuffer(b"".join(a.to_pylist()), ">u8").astype(np.uint64).reshape(-1, 2)
 
 
 def _misses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last, parents = None, None
+    """Rows come by range and slice, parents (slot null) before references."""
+    at, held, parents = None, [], _NONE
     for b in batches:
+        if not b.num_rows:
+            continue
+        rng, part, slot = b["rng"].to_numpy(), b["part"].to_numpy(), b["slot"].fill_null(-1).to_numpy()
+        key, one, two = _key(b["key"]), b["a"].to_numpy(), b["b"].to_numpy()
+        turn = np.flatnonzero(np.r_[True, (rng[1:] != rng[:-1]) | (part[1:] != part[:-1]) | ((slot[1:] < 0) != (slot[:-1] < 0))])
         rows, fields = [], []
-        for r in b.to_pylist():
-            if r["ph"] is None:
-                parents = (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 2
-                last = None
-            elif r["rng"] != last:
-                packs = [np.frombuffer(b"".join(r[c]), np.uint64 if c in ("ph", "plo") else np.int64) for c in ("ph", "plo", "pa", "pb")]
-                order = np.argsort(packs[0], kind="stable")
-                parents, last = tuple(x[order] for x in packs), r["rng"]
-            at, row, field = (np.frombuffer(r[c], np.int64) for c in ("a", "b", "c"))
-            bad = ~probe(parents, np.frombuffer(r["h"], np.uint64), np.frombuffer(r["lo"], np.uint64), at)
-            rows.append(row[bad])
-            fields.append(field[bad])
+        for s, e in zip(turn, np.r_[turn[1:], len(rng)], strict=True):
+            if at != (rng[s], part[s]):
+                at, held, parents = (rng[s], part[s]), [], _NONE
+            if slot[s] < 0:
+                held.append((key[s:e], one[s:e], two[s:e]))
+                continue
+            if held:
+                parents, held = Parents(*(np.concatenate(x) for x in zip(*held, strict=True))), []
+            bad = ~parents.in_force(key[s:e], one[s:e])
+            rows.append(two[s:e][bad])
+            fields.append(slot[s:e][bad])
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(fields).astype(np.int32))], ["row_id", "slot"])
 
@@ -121,15 +99,24 @@ def orphan_references(refs: DataFrame, parents: DataFrame, key: str = "id", star
     slots = [tuple(r) for r in refs.select("src_table", "ref_field").distinct().limit(1000).collect()]
     if not slots:
         return refs.select("src_table", "row_id", "ref_field")
-    bits = max(0, (max(1, parents.count()) // range_keys).bit_length())
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(8 * parts, parents.count() // range_keys)
+    rng = F.pmod(F.xxhash64("hex"), F.lit(ranges)).cast("int")
     slot = F.coalesce(*(F.when((F.col("src_table") == t) & (F.col("ref_field") == f), F.lit(i)) for i, (t, f) in enumerate(slots)))
-    keyed = refs.select(hex_digits(F.col("ref")).alias("hex"), _micros(F.col("at"), -NEVER).alias("a"), F.col("row_id").alias("b"), slot.alias("c"))
-    packed = "rng long, h binary, lo binary, a binary, b binary, c binary"
-    sent = keyed.where("hex IS NOT NULL").mapInArrow(_pack("refs", bits, BATCH_REFS, False), packed)
-    known = parents.select(hex_digits(F.col(key)).alias("hex"), _micros(F.col(start), NEVER).alias("a"), _micros(F.col(end), NEVER).alias("b"), F.lit(0).alias("c")).where("hex IS NOT NULL")
-    arrays = known.mapInArrow(_pack("parents", bits, 1 << 30, True), packed).groupBy("rng").agg(*(F.collect_list(c).alias(n) for c, n in (("h", "ph"), ("lo", "plo"), ("a", "pa"), ("b", "pb"))))
-    misses = sent.join(arrays, "rng", "left").mapInArrow(_misses, "row_id long, slot int")
-    nonsense = keyed.where("hex IS NULL").select(F.col("b").alias("row_id"), F.col("c").cast("int").alias("slot"))
+    keyed = refs.select(hex_digits(F.col("ref")).alias("hex"), _micros(F.col("at"), -NEVER).alias("a"), F.col("row_id").cast("long").alias("b"), slot.alias("slot"))
+    good = keyed.where("hex IS NOT NULL").select(rng.alias("rng"), F.unhex("hex").alias("key"), "a", "b", "slot")
+    known = parents.select(hex_digits(F.col(key)).alias("hex"), _micros(F.col(start), NEVER).alias("a"), _micros(F.col(end), NEVER).alias("b")).where("hex IS NOT NULL").distinct()
+    known = known.select(rng.alias("rng"), F.unhex("hex").alias("key"), "a", "b", F.lit(None).cast("int").alias("slot"))
+    counts = good.groupBy("rng").agg(F.count("*").alias("n"))
+    share = max(1, (counts.agg(F.sum("n")).first()[0] or 0) // (2 * parts))
+    hot = {r.rng: -(-r.n // share) for r in counts.where(F.col("n") > share).collect()}  # at most 2 * parts of them
+    split = F.broadcast(spark.createDataFrame(list(hot.items()), "rng int, slices long"))
+    slices = F.coalesce("slices", F.lit(1))
+    sent = good.join(split, "rng", "left").withColumn("part", F.pmod(F.xxhash64("b", "slot"), slices).cast("int")).drop("slices")
+    held = known.join(split, "rng", "left").withColumn("part", F.explode(F.sequence(F.lit(0), (slices - 1).cast("int")))).drop("slices")
+    stream = sent.unionByName(held).repartition(parts, "rng", "part").sortWithinPartitions("rng", "part", F.col("slot").isNotNull())
+    misses = stream.select("rng", "part", "slot", "key", "a", "b").mapInArrow(_misses, "row_id long, slot int")
+    nonsense = keyed.where("hex IS NULL").select(F.col("b").alias("row_id"), "slot")
     cases = misses.unionByName(nonsense).distinct()
     names = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(f).alias("f")) for t, f in slots))
     named = cases.select("row_id", F.element_at(names, F.col("slot") + 1).alias("s"))

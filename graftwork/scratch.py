@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_swept: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[sc.applicationId]
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder. Results may read from it until the application ends; then it is deleted."""
+    path = f"{shared_dir(spark)}/graftwork-{spark.sparkContext.applicationId}"
+    if path not in _swept:
+        _swept.add(path)
+        atexit.register(_sweep, spark, path)
+    return path
+
+
+def _sweep(spark: SparkSession, path: str) -> None:
+    try:
+        delete(spark, path)
+    except Exception:  # the session is gone, or the folder is
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
 class Scratch:
     """Writes tables under the shared folder and deletes them when they are replaced.
 
@@ -38,7 +55,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/graftwork-{name}-{uuid.uuid4().hex}"
+        self.root = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
         self.n = 0
 
