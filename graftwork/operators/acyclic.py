@@ -5,8 +5,8 @@ depends on order, but only for edges on cycles: ``peel`` drops edges that lie on
 components, and each is replayed in order on its own.
 
 ``closes_cycle`` answers, for proposals that can't be accepted anyway, whether the graph
-at their time would have refused them for the cycle: walks go back from the tail over accepted edges, and only for rows
-whose two ends lie in one component.
+at their time would have refused them for the cycle, and only for rows whose two ends lie in one component: a small component in one
+task, a larger one by walks back from the tail, one join a step.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from graftwork.scratch import Scratch
 #: Rounds of peeling. More rounds leave fewer edges to replay; the result is the same.
 PEEL_ROUNDS = 6
 STORED = -1
+#: Edges of a component up to which its questions are answered in one task; beyond that by joins.
+WALK_EDGES = 50_000
 
 
 def peel(edges: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -81,20 +83,43 @@ def closes_cycle(accepted: DataFrame, asked: DataFrame) -> DataFrame:
     comp = scratch.keep(components(accepted, "from_id", "to_id"))
     a = comp.select(F.col("node").alias("from_id"), F.col("rep").alias("ca"))
     b = comp.select(F.col("node").alias("to_id"), F.col("rep").alias("cb"))
-    near = asked.select("seq", "from_id", "to_id").join(a, "from_id").join(b, "to_id").where("ca = cb").select("seq", "to_id", F.col("from_id").alias("at"))
-    near = scratch.keep(near.distinct())
-    found, seen, front = [], near, near
-    back = accepted.select(F.col("to_id").alias("at"), F.col("from_id").alias("before"), F.col("seq").alias("edge"))
-    while not front.isEmpty():
-        step = scratch.keep(front.join(back, "at").where("edge < seq").select("seq", "to_id", F.col("before").alias("at")).distinct())
-        hit = step.where("at = to_id").select("seq").distinct()
-        found.append(hit)
-        front = scratch.keep(step.join(seen, ["seq", "to_id", "at"], "left_anti").join(hit, "seq", "left_anti"))
-        seen = scratch.keep(seen.union(front).distinct())
-    out = asked.select("seq").where("false")
-    for hit in found:
-        out = out.union(hit)
-    return out.distinct()
+    near = scratch.keep(asked.select("seq", "from_id", "to_id").join(a, "from_id").join(b, "to_id").where("ca = cb").select("seq", "from_id", "to_id", F.col("ca").alias("component")).distinct())
+    if near.isEmpty():
+        return near.select("seq")
+    edges = accepted.join(a.withColumnRenamed("ca", "component"), "from_id").join(near.select("component").distinct(), "component", "left_semi")
+    small = edges.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") <= WALK_EDGES).select("component")
+    few = near.join(small, "component", "left_semi").groupBy("component").cogroup(edges.join(small, "component", "left_semi").groupBy("component")).applyInPandas(_closing, "seq long")
+    many = scratch.keep(near.join(small, "component", "left_anti"))
+    return few if many.isEmpty() else few.unionByName(_walk_back(edges, many, scratch))
+
+
+def _closing(asked: pd.DataFrame, accepted: pd.DataFrame) -> pd.DataFrame:
+    """Asked rows of one component that close a cycle: edges are added in order up to each row."""
+    out: dict[str, list[str]] = {}
+    edges = iter(accepted.sort_values("seq", kind="stable")[["seq", "from_id", "to_id"]].itertuples(index=False))
+    edge, hit = next(edges, None), []
+    for seq, tail, head in asked.sort_values("seq")[["seq", "from_id", "to_id"]].itertuples(index=False):
+        while edge is not None and edge.seq < seq:
+            out.setdefault(edge.from_id, []).append(edge.to_id)
+            edge = next(edges, None)
+        if _leads(out, head, tail):
+            hit.append(seq)
+    return pd.DataFrame({"seq": pd.Series(hit, dtype="int64")})
+
+
+def _walk_back(edges: DataFrame, asked: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same by joins, for components of any size."""
+    back = edges.select(F.col("to_id").alias("at"), F.col("from_id").alias("before"), F.col("seq").alias("edge"))
+    front = asked.select("seq", "to_id", F.col("from_id").alias("at"))
+    seen, found = front, asked.select("seq").where("false")
+    while True:
+        step = front.join(back, "at").where("edge < seq").select("seq", "to_id", F.col("before").alias("at")).distinct()
+        step = scratch.keep(step.join(seen, ["seq", "to_id", "at"], "left_anti"))
+        if step.isEmpty():
+            return found.distinct()
+        hit = step.where("at = to_id").select("seq")
+        found = found.union(hit)
+        front, seen = step.join(hit.distinct(), "seq", "left_anti"), seen.union(step)
 
 
 def cycle_witness(accepted: DataFrame, asked: DataFrame) -> DataFrame:
