@@ -220,7 +220,7 @@ class Machine:
             w, bias = squared_hinge(x, y, cost)
             weights = held.fold(to @ w)
         worst = p.worst(weights, bias, len(texts))
-        return cls(weights, bias, _best_threshold(worst, positive))
+        return cls(weights, bias, _threshold(worst))
 
 
 def _odds(p: Passages, positive: np.ndarray) -> np.ndarray:
@@ -255,13 +255,12 @@ def _split(x: np.ndarray) -> float:
     return float((x[k] + x[k + 1]) / 2)
 
 
-def _best_threshold(score: np.ndarray, positive: np.ndarray) -> float:
-    order = np.argsort(-score)
-    hit = np.cumsum(positive[order])
-    f1 = 2 * hit / (np.arange(1, len(order) + 1) + positive.sum())
-    k = int(np.argmax(f1))
-    low = score[order[k + 1]] if k + 1 < len(order) else score[order[k]] - 1
-    return float((score[order[k]] + low) / 2)
+def _threshold(score: np.ndarray) -> float:
+    """The middle of the widest gap between the documents' scores around the machine's own boundary. (Labels are not
+    asked: raters err in both directions, and the few documents near the boundary would follow their errors.)"""
+    near = np.sort(np.r_[-0.5, score[(score > -0.5) & (score < 0.9)], 0.9])
+    k = int(np.argmax(np.diff(near)))
+    return float((near[k] + near[k + 1]) / 2)
 
 
 def labelled(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
