@@ -75,11 +75,11 @@ class CommonWords:
         return cls(word[c].view(np.uint64), n[c], n_texts, *((word[m], n[m]) if shared else ()))
 
     def is_shared(self, hash_: np.ndarray) -> np.ndarray:
-        """Whether another text may hold the word (common words always)."""
+        """Whether another text may hold the word."""
         if self.block is None:
             return np.ones(len(hash_), bool)
         slot = (hash_ >> np.uint64(64 - (SLOTS.bit_length() - 1))).astype(np.int64)
-        out = np.isin(hash_, self.hash)
+        out = np.isin(hash_, self.hash[self.count > 1])
         if len(self.block):
             at = np.minimum(np.searchsorted(self.block, slot >> 6), len(self.block) - 1)
             out |= (self.block[at] == slot >> 6) & ((self.bits[at] >> (slot & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)

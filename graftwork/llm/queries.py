@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graftwork.llm.alike_sql import SQL as ALIKE_SQL
 from graftwork.llm.contamination import leaks
 from graftwork.llm.content_filter import fit, score_documents
 from graftwork.llm.ledger import Ledger, json_keys, text_key
@@ -129,6 +130,7 @@ doc_runs AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+9], ' ') AS run FROM
 leaked AS (SELECT DISTINCT doc_id, item_id FROM doc_runs JOIN item_runs USING (run))"""
 
 SQL = {
+    **ALIKE_SQL,
     "p3_found": f"WITH {_RECORDS} SELECT src_table, first_id, n_copies FROM records WHERE n_copies >= 2",
     "p3_records": f"WITH {_RECORDS} SELECT src_table, first_id, n_copies FROM records",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
