@@ -65,10 +65,10 @@ def run(spark: SparkSession, config: RunConfig, chat: Chat | None = None) -> lis
     graph = LearningGraph(spark, config.path or tempfile.mkdtemp(prefix="graftwork-graph-"))
     service = available(config.use_chat, os.environ)
     lines = []
-    steps = (("nodes", lambda: graph.add_nodes(node_source(spark, config.concepts, config.outcomes, chat, service))), ("edges", lambda: graph.add_edges(edge_source(graph.inventory(), config.edges, chat, service))))
+    steps = (("Nodes", lambda: graph.add_nodes(node_source(spark, config.concepts, config.outcomes, chat, service))), ("Edges", lambda: graph.add_edges(edge_source(graph.inventory(), config.edges, chat, service))))
     for what, step in steps:
         n = views.decision_counts(step()).first()
-        lines.append(f"{what}: {n.n_accepted} accepted, {n.n_rejected} rejected")
+        lines.append(f"{what} accepted: {n.n_accepted} / {n.n_accepted + n.n_rejected} (rejected {n.n_rejected})")
     lines += [r.line for r in views.report_lines(graph.summarize()).orderBy("line_no").collect()]
     if config.export_dot:
         graph.export_dot(config.export_dot)

@@ -93,11 +93,11 @@ edge_events AS (SELECT seq AS event_seq, CASE WHEN accepted THEN 'EdgeAccepted'
   CASE WHEN accepted THEN to_id END AS to_id, CASE WHEN accepted THEN rationale END AS rationale, reason FROM edge_judged)"""
 
 _SHORT_TEXT = _short("text")
-_LINES = f"""SELECT event_seq, CASE WHEN event_type = 'NodeAccepted' THEN 'graph/nodes' ELSE 'graph/nodes_rejected' END AS entity, CASE WHEN event_type = 'NodeAccepted' THEN 'INFO' ELSE 'WARN' END AS level,
-  CASE WHEN event_type = 'NodeAccepted' THEN 'ADD node [' || kind || ' L' || level || '] ' || {_SHORT_TEXT} || CASE WHEN len(tags) > 0 THEN ' tags=[' || array_to_string(tags, ',') || ']' ELSE '' END
+_LINES = f"""SELECT event_seq, CASE WHEN event_type = 'NodeAccepted' THEN 'graph/events' ELSE 'graph/nodes_rejected' END AS entity, CASE WHEN event_type = 'NodeAccepted' THEN 'INFO' ELSE 'WARN' END AS level,
+  CASE WHEN event_type = 'NodeAccepted' THEN 'ACCEPT node ' || kind || ' lvl ' || level || ' ' || id || ': ' || {_SHORT_TEXT} || CASE WHEN len(tags) > 0 THEN ' tags=[' || array_to_string(tags, ',') || ']' ELSE '' END
   ELSE 'REJECT node ' || {_SHORT_TEXT} || ': ' || reason END AS message FROM node_events
-UNION ALL SELECT event_seq, CASE WHEN event_type = 'EdgeAccepted' THEN 'graph/edges' ELSE 'graph/edges_rejected' END, CASE WHEN event_type = 'EdgeAccepted' THEN 'INFO' ELSE 'WARN' END,
-  CASE WHEN event_type = 'EdgeAccepted' THEN 'ADD edge ' || relation || ' ' || from_id || ' -> ' || to_id || ': ' || rationale ELSE 'REJECT edge ' || coalesce(relation, '?') || ': ' || reason END FROM edge_events"""
+UNION ALL SELECT event_seq, CASE WHEN event_type = 'EdgeAccepted' THEN 'graph/events' ELSE 'graph/edges_rejected' END, CASE WHEN event_type = 'EdgeAccepted' THEN 'INFO' ELSE 'WARN' END,
+  CASE WHEN event_type = 'EdgeAccepted' THEN 'ACCEPT edge ' || relation || ' ' || from_id || ' -> ' || to_id || ': ' || {_short("rationale")} ELSE 'REJECT edge ' || coalesce(relation, '?') || ': ' || reason END FROM edge_events"""
 
 _TOP = """counted AS (SELECT n.id, n.text, (SELECT count(*) FROM edges e WHERE e.relation = 'Supports' AND e.to_id = n.id) AS supports FROM nodes n WHERE kind = 'LearningOutcome'),
 best AS (SELECT * FROM counted ORDER BY supports DESC, text, id LIMIT 5)"""
@@ -114,7 +114,7 @@ _SUMMARY = f"""{_TOP}, {_REACH}, summary AS (SELECT (SELECT count(*) FROM nodes)
 (SELECT list(struct_pack(id := id, text := text, supports := supports) ORDER BY supports DESC, text, id) FROM best) AS top_learning_outcomes)"""
 _ORDERED = "SELECT id, level, row_number() OVER (PARTITION BY level ORDER BY seq, id) - 1 AS ord, text FROM nodes"
 _SNAKE = r"lower(regexp_replace(relation, '([a-z])([A-Z])', '\1_\2', 'g'))"
-_LABEL = f"replace({_trim("coalesce(rationale, '')")}, '\"', '\\\"')"
+_LABEL = f"replace({_clean("coalesce(rationale, '')")}, '\"', '\\\"')"
 
 
 def _dot_edges(named: str) -> str:
@@ -190,12 +190,13 @@ SQL: dict[str, str] = {
     "support_counts": "SELECT to_id AS id, count(*) AS supports FROM edges WHERE relation = 'Supports' GROUP BY to_id",
     "top_outcomes": f"WITH {_TOP} SELECT id, text, supports FROM best",
     "graph_summary": f"WITH RECURSIVE {_SUMMARY} SELECT * REPLACE (CAST(to_json(top_learning_outcomes) AS VARCHAR) AS top_learning_outcomes) FROM summary",
-    "summary_lines": f"WITH {_TOP} SELECT id, text || ' -> ' || supports || ' supports' AS message FROM best",
+    "summary_lines": f"WITH {_TOP} SELECT id, 'LO ' || id || ' (' || supports || ' supports): ' || text AS message FROM best",
     "degree_stats": """SELECT round((SELECT count(*) FROM edges WHERE to_id IN (SELECT id FROM nodes)) / (SELECT count(*) FROM nodes), 6) AS avg_in_degree,
       round((SELECT count(*) FROM edges WHERE from_id IN (SELECT id FROM nodes)) / (SELECT count(*) FROM nodes), 6) AS avg_out_degree""",
     "report_lines": f"""WITH RECURSIVE {_SUMMARY} SELECT CAST(i - 1 AS INTEGER) AS line_no, l[i] AS line FROM (SELECT l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT list_concat([
-      'Nodes: ' || total_nodes || ' (' || concepts || ' concepts, ' || learning_outcomes || ' learning outcomes)', 'Edges: ' || total_edges || ' (' || prerequisite_edges || ' prerequisite, ' || supports_edges || ' supports)',
-      CASE WHEN prereq_dag_ok THEN 'Prerequisites: DAG OK' ELSE 'Prerequisites: cycle detected' END], list_transform(top_learning_outcomes, lambda x: 'Top outcome: ' || x.text || ' (' || x.supports || ' supports)')) AS l FROM summary))""",
+      'Nodes: ' || total_nodes || ' (concept=' || concepts || ', learning_outcome=' || learning_outcomes || ')', 'Edges: ' || total_edges || ' (prerequisite_for=' || prerequisite_edges || ', supports=' || supports_edges || ')',
+      'Prerequisite DAG: ' || CASE WHEN prereq_dag_ok THEN 'OK' ELSE 'Cycle detected' END] || CASE WHEN len(top_learning_outcomes) > 0 THEN ['Top learning outcomes by incoming supports:'] ELSE [] END,
+      list_transform(top_learning_outcomes, lambda x: '  ' || x.id || ' (' || x.supports || ' supports) - ' || x.text)) AS l FROM summary))""",
     "layout_order": f"SELECT id, level, ord FROM ({_ORDERED})",
     "layout_nodes": f"SELECT id, level, ord, {_SHORT_TEXT} AS label FROM ({_ORDERED})",
     "layout_edges_directed": _PRE,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graftwork.functions.text import clean, escape_quotes, shorten, tag_suffix, trim_all
+from graftwork.functions.text import clean, escape_quotes, shorten, tag_suffix
 from graftwork.operators.acyclic import is_acyclic
 from graftwork.rules import DEFAULT, RuleSet
 
@@ -53,7 +53,7 @@ def graph_summary(nodes: DataFrame, edges: DataFrame, rules: RuleSet = DEFAULT)
 
 def summary_lines(top: DataFrame) -> DataFrame:
     """One line for each top outcome, as a summary announces them."""
-    return top.select("id", F.format_string("%s -> %d supports", "text", "supports").alias("message"))
+    return top.select("id", F.format_string("LO %s (%d supports): %s", "id", "supports", "text").alias("message"))
 
 
 def degree_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -110,23 +110,22 @@ def edge_events(admitted: DataFrame, sequence: Column) -> DataFrame:
 
 
 def event_lines(node_events_: DataFrame, edge_events_: DataFrame, rules: RuleSet = DEFAULT) -> DataFrame:
-    """entity, level, message of the text log, one line for each event."""
-    text = shorten(F.col("text"), rules.label_length)
-    added = F.col("event_type") == "NodeAccepted"
-    nodes = node_events_.select(
-        F.col("event_seq"),
-        F.when(added, "graph/nodes").otherwise("graph/nodes_rejected").alias("entity"),
-        F.when(added, "INFO").otherwise("WARN").alias("level"),
-        F.when(added, F.concat(F.lit("ADD node ["), F.col("kind"), F.lit(" L"), F.col("level").cast("string"), F.lit("] "), text, tag_suffix(F.col("tags")))).otherwise(F.concat(F.lit("REJECT node "), text, F.lit(": "), F.col("reason"))).alias("message"),
-    )
-    linked = F.col("event_type") == "EdgeAccepted"
-    edges = edge_events_.select(
-        F.col("event_seq"),
-        F.when(linked, "graph/edges").otherwise("graph/edges_rejected").alias("entity"),
-        F.when(linked, "INFO").otherwise("WARN").alias("level"),
-        F.when(linked, F.concat(F.lit("ADD edge "), F.col("relation"), F.lit(" "), F.col("from_id"), F.lit(" -> "), F.col("to_id"), F.lit(": "), F.col("rationale"))).otherwise(F.concat(F.lit("REJECT edge "), F.coalesce("relation", F.lit("?")), F.lit(": "), F.col("reason"))).alias("message"),
-    )
-    return nodes.unionByName(edges)
+    """event_seq, entity, level, message of the text log, one line for each event."""
+    label = lambda c: shorten(F.col(c), rules.label_length)
+    kept = F.col("event_type").isin("NodeAccepted", "EdgeAccepted")
+    level = F.when(kept, "INFO").otherwise("WARN").alias("level")
+    entity = lambda refused: F.when(kept, "graph/events").otherwise(refused).alias("entity")
+    node = F.concat(F.lit("ACCEPT node "), F.col("kind"), F.lit(" lvl "), F.col("level").cast("string"), F.lit(" "), F.col("id"), F.lit(": "), label("text"), tag_suffix(F.col("tags")))
+    no_node = F.concat(F.lit("REJECT node "), label("text"), F.lit(": "), F.col("reason"))
+    edge = F.concat(F.lit("ACCEPT edge "), F.col("relation"), F.lit(" "), F.col("from_id"), F.lit(" -> "), F.col("to_id"), F.lit(": "), label("rationale"))
+    no_edge = F.concat(F.lit("REJECT edge "), F.coalesce("relation", F.lit("?")), F.lit(": "), F.col("reason"))
+    nodes = node_events_.select("event_seq", entity("graph/nodes_rejected"), level, F.when(kept, node).otherwise(no_node).alias("message"))
+    return nodes.unionByName(edge_events_.select("event_seq", entity("graph/edges_rejected"), level, F.when(kept, edge).otherwise(no_edge).alias("message")))
+
+
+def summary_event_lines(events: DataFrame) -> DataFrame:
+    """The same for the lines that a summary announces."""
+    return events.where("event_type = 'SummaryLine'").select("event_seq", F.lit("graph/summary").alias("entity"), F.lit("INFO").alias("level"), "message")
 
 
 def dot_relation(c: Column) -> Column:
@@ -143,7 +142,7 @@ def dot_edges(nodes: DataFrame, edges: DataFrame, label_first: int | None = None
     """Edges between known nodes; with label_first only the first so many (by seq) carry their rationale."""
     known = nodes.select("id")
     rows = edges.join(known.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(known.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
-    reason = escape_quotes(trim_all(F.coalesce("rationale", F.lit(""))))
+    reason = escape_quotes(clean(F.coalesce("rationale", F.lit(""))))
     named = reason != ""
     if label_first is not None:
         edge = rows.orderBy("seq").limit(label_first).agg(F.max("seq")).first()[0]
@@ -169,12 +168,13 @@ def write_dot(nodes: DataFrame, edges: DataFrame, path: str, name: str = "learni
 def report_lines(summary: DataFrame) -> DataFrame:
     """line_no, line of the console report for a graph_summary row."""
     fixed = F.array(
-        F.format_string("Nodes: %d (%d concepts, %d learning outcomes)", "total_nodes", "concepts", "learning_outcomes"),
-        F.format_string("Edges: %d (%d prerequisite, %d supports)", "total_edges", "prerequisite_edges", "supports_edges"),
-        F.when(F.col("prereq_dag_ok"), "Prerequisites: DAG OK").otherwise("Prerequisites: cycle detected"),
+        F.format_string("Nodes: %d (concept=%d, learning_outcome=%d)", "total_nodes", "concepts", "learning_outcomes"),
+        F.format_string("Edges: %d (prerequisite_for=%d, supports=%d)", "total_edges", "prerequisite_edges", "supports_edges"),
+        F.concat(F.lit("Prerequisite DAG: "), F.when(F.col("prereq_dag_ok"), "OK").otherwise("Cycle detected")),
     )
-    best = F.transform("top_learning_outcomes", lambda x: F.format_string("Top outcome: %s (%d supports)", x["text"], x["supports"]))
-    return summary.select(F.posexplode(F.concat(fixed, best)).alias("line_no", "line"))
+    best = F.transform("top_learning_outcomes", lambda x: F.format_string("  %s (%d supports) - %s", x["id"], x["supports"], x["text"]))
+    title = F.when(F.size(best) > 0, F.array(F.lit("Top learning outcomes by incoming supports:"))).otherwise(F.array().cast("array<string>"))
+    return summary.select(F.posexplode(F.concat(fixed, title, best)).alias("line_no", "line"))
 
 
 def decision_counts(decided: DataFrame) -> DataFrame:

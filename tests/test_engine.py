@@ -12,7 +12,7 @@ from graftwork.streaming.ingest import admit_edge_stream, admit_node_stream, eve
 
 def test_default_run(spark, tmp_path):
     lines = run(spark, RunConfig(path=str(tmp_path / "g"), export_dot=str(tmp_path / "dot")))
-    assert lines[:5] == ["nodes: 30 accepted, 0 rejected", "edges: 31 accepted, 8 rejected", "Nodes: 30 (25 concepts, 5 learning outcomes)", "Edges: 31 (16 prerequisite, 15 supports)", "Prerequisites: DAG OK"]
+    assert lines[:5] == ["Nodes accepted: 30 / 30 (rejected 0)", "Edges accepted: 31 / 39 (rejected 8)", "Nodes: 30 (concept=25, learning_outcome=5)", "Edges: 31 (prerequisite_for=16, supports=15)", "Prerequisite DAG: OK"]
     assert sum("(3 supports)" in x for x in lines) == 5
     dot = open(glob.glob(str(tmp_path / "dot" / "part*"))[0]).read()
     assert dot.startswith("digraph learning_graph {\n") and dot.rstrip().endswith("}")
@@ -21,6 +21,7 @@ def test_default_run(spark, tmp_path):
     kinds = {r.event_type: r["count"] for r in graph.events().groupBy("event_type").count().collect()}
     assert kinds == {"NodeAccepted": 30, "EdgeAccepted": 31, "EdgeRejected": 8, "SummaryLine": 5}
     assert {r.reason for r in graph.events().where("event_type = 'EdgeRejected'").collect()} == {"prerequisite edges must not decrease level"}
+    assert views.summary_event_lines(graph.events()).where("message LIKE 'LO %(3 supports): I can %'").count() == 5
     levels = {r.level: r["count"] for r in graph.inventory().where("kind = 'Concept'").groupBy("level").count().collect()}
     assert levels == {0: 7, 1: 6, 2: 6, 3: 6}
 
