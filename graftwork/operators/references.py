@@ -96,7 +96,7 @@ def reference_rows(df: DataFrame, table: str, row_id: str, time: str, fields: li
 def orphan_references(refs: DataFrame, parents: DataFrame, key: str = "id", start: str = "accepted_at", end: str = "retired_at", range_keys: int = RANGE_KEYS) -> DataFrame:
     """src_table, row_id, ref_field of every reference of ``reference_rows`` without a parent at its time."""
     spark = refs.sparkSession
-    slots = [tuple(r) for r in refs.select("src_table", "ref_field").distinct().limit(1000).collect()]
+    slots = [tuple(r) for r in refs.select("src_table", "ref_field").distinct().collect()]  # as many as the schemas have reference columns
     if not slots:
         return refs.select("src_table", "row_id", "ref_field")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
