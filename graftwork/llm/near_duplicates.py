@@ -144,8 +144,9 @@ def candidate_classes(texts: DataFrame, least: float, min_words: int, bands: int
     """a, b: pairs of classes (a < b) that share a band and pass the sketch."""
     spark = texts.sparkSession
     common = spark.sparkContext.broadcast(CommonWords.of(texts, rare=RARE, shared=True))
+    # copies from different tasks meet in the shuffle by key and are dropped there, without another one
     packed = texts.mapInArrow(_signed(common, bands, rows, min_words, seed), "k long, v long")
-    left = packed.select(F.shiftrightunsigned("k", 24).alias("key"), F.col("k").bitwiseAND((1 << 24) - 1).alias("part"), "v").repartition("key")
+    left = packed.select(F.shiftrightunsigned("k", 24).alias("key"), F.col("k").bitwiseAND((1 << 24) - 1).alias("part"), "v").repartition("key").dropDuplicates()
     right = left.select(F.col("key"), F.col("part").alias("part2"), F.col("v").alias("v2"))
     name = lambda part, v: F.shiftleft(part, 16).bitwiseOR(F.shiftrightunsigned(v, 47))
     sketch = lambda v: F.shiftrightunsigned(v, SIZE_BITS).bitwiseAND((1 << SKETCH_BITS) - 1)
