@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graftwork.llm.segment_index import Runs
-from graftwork.llm.words import Words
+from graftwork.llm.words import Runs, Words
 
 RUN, SHINGLE, HELD = 10, 5, 2_000_000
 #: Texts that are split at a time.

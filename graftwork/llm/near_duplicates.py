@@ -107,7 +107,7 @@ def _signed(common, bands: int, rows: int, min_words: int, seed: int):
             w = Words(b.column(0))
             text, code = w.sets()
             n = np.bincount(text, minlength=b.num_rows)
-            class_ = w.text_hash(" ")
+            class_ = w.words_hash()
             fresh = np.zeros(b.num_rows, bool)  # copies within a task are sent once
             if len(seen) > 500_000:
                 seen = set()
@@ -170,8 +170,8 @@ def _facts(min_words: int):
             blob = prints[:, None].view(np.uint8)[:, 8 - WORD_BYTES :].tobytes()
             ends = np.r_[0, np.cumsum(n[keep])] * WORD_BYTES
             facts = pa.Array.from_buffers(pa.binary(), int(keep.sum()), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(blob)])
-            name = (w.text_hash(" ")[keep] >> np.uint64(64 - CLASS_BITS)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), pa.array(name), pa.array(w.text_hash("")[keep].view(np.int64)), facts], ["id", "class", "letters", "words"])
+            name = (w.words_hash()[keep] >> np.uint64(64 - CLASS_BITS)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), pa.array(name), pa.array(w.letters_hash()[keep].view(np.int64)), facts], ["id", "class", "letters", "words"])
 
     return run
 

@@ -33,32 +33,12 @@ from pyspark.sql import functions as F
 
 from graftwork.llm.common_words import CommonWords
 from graftwork.llm.near_duplicates import SKETCH_BITS, jaccard_at_least, may_be_alike
-from graftwork.llm.words import Words, letters, mix, odd_sketch, words
+from graftwork.llm.words import Runs, Words, letters, mix, odd_sketch, words
 
 MASS, LIGHT_MASS, LIGHT = 12_000, 4_000, 3
-_BASE = 0x9E3779B97F4A7C15
 ROWS = "key long, ref long, sketch int, size short"
 
 
-def _inverse(x: int) -> int:
-    return pow(x, -1, 1 << 64)
-
-
-class Runs:
-    """Hashes of runs of words: equal for equal runs, wherever they stand."""
-
-    def __init__(self, word_hash: np.ndarray):
-        n = len(word_hash)
-        with np.errstate(over="ignore"):
-            self.up = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE, np.uint64)])
-            down = np.cumprod(np.r_[np.uint64(1), np.full(n, _inverse(_BASE), np.uint64)])[:n]
-            self.sum = np.r_[np.uint64(0), np.cumsum(mix(word_hash) * down)]
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix((self.sum[end] - self.sum[start]) * self.up[start] ^ (end - start).astype(np.uint64))
-
-
 def segment_ends(mass: np.ndarray, start: np.ndarray, need: int) -> np.ndarray:
     """For each word, where a segment that starts there ends; -1 where its text ends first. mass: whole numbers, start: where texts begin."""
     total = np.r_[0, np.cumsum(mass)]
@@ -80,7 +60,7 @@ def _rows(common, stored: bool, min_words: int):
             runs = Runs(w.hash[w.code])
             whole = np.bincount(w.text, weights=mass, minlength=b.num_rows)
             some = np.flatnonzero(w.size > 0)
-            keys, owner, kind = [mix(w.text_hash("")[some] ^ np.uint64(0xA5A5))], [some], [np.zeros(len(some), np.int64)]
+            keys, owner, kind = [mix(w.letters_hash()[some] ^ np.uint64(0xA5A5))], [some], [np.zeros(len(some), np.int64)]
             for need, fit in ((MASS, size >= min_words), (LIGHT_MASS, (size >= min_words) & (whole <= MASS * LIGHT * (1 if stored else 1.5)))):
                 ends = segment_ends(mass, w.start, need)
                 if stored:

@@ -7,11 +7,10 @@ never handles single words of the corpus.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,7 +39,26 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def hashes(strings: list[str]) -> np.ndarray:
     """64-bit hashes that are equal in every process."""
-    return np.frombuffer(b"".join(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest() for s in strings), np.uint64)
+    one = xxhash.xxh3_64_intdigest
+    return np.array([one(s) for s in strings], np.uint64)
+
+
+_BASE = 0x9E3779B97F4A7C15
+
+
+class Runs:
+    """Hashes of runs of words: equal for equal runs, wherever they stand."""
+
+    def __init__(self, word_hash: np.ndarray):
+        n = len(word_hash)
+        with np.errstate(over="ignore"):
+            self.up = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE, np.uint64)])
+            down = np.cumprod(np.r_[np.uint64(1), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)])[:n]
+            self.sum = np.r_[np.uint64(0), np.cumsum(mix(word_hash) * down)]
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((self.sum[end] - self.sum[start]) * self.up[start] ^ (end - start).astype(np.uint64))
 
 
 class Words:
@@ -63,14 +81,14 @@ class Words:
         self.size = np.diff(self.start)
         self.text = np.repeat(np.arange(len(texts)), self.size)
 
-    def text_hash(self, gap: str) -> np.ndarray:
-        """64-bit hash of each text's words joined by ``gap``; without a gap, of its letters, however they are cut into words."""
-        out = np.zeros(len(self.size), np.uint64)
-        parts, code, start = self.distinct, self.code.tolist(), self.start.tolist()
-        for i in range(len(out)):
-            whole = gap.join([parts[k] for k in code[start[i] : start[i + 1]]])
-            out[i] = int.from_bytes(hashlib.blake2b(whole.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        return out
+    def words_hash(self) -> np.ndarray:
+        """64-bit hash of each text's words in order."""
+        return Runs(self.hash[self.code]).of(self.start[:-1], self.start[1:])
+
+    def letters_hash(self) -> np.ndarray:
+        """64-bit hash of each text's letters, however they are cut into words."""
+        one, parts, code, start = xxhash.xxh3_64_intdigest, self.distinct, self.code.tolist(), self.start.tolist()
+        return np.array([one("".join([parts[k] for k in code[a:b]])) for a, b in zip(start, start[1:], strict=False)], np.uint64)
 
     def sets(self) -> tuple[np.ndarray, np.ndarray]:
         """Each text's distinct words: (text, code) pairs, sorted by text."""

@@ -96,8 +96,8 @@ def test_words_of_a_batch():
     w = Words(pa.array(["Ab c1-AB", None, "", "x​y", "...z"]))
     got = [[w.distinct[k] for k in w.code[a:b]] for a, b in zip(w.start, w.start[1:], strict=False)]
     assert got == [["ab", "c1", "ab"], [], [], ["x", "y"], ["z"]]
-    assert w.text_hash("")[3] == Words(pa.array(["xy"])).text_hash("")[0]
-    assert w.text_hash(" ")[3] != Words(pa.array(["xy"])).text_hash(" ")[0]
+    assert w.letters_hash()[3] == Words(pa.array(["xy"])).letters_hash()[0]
+    assert w.words_hash()[3] != Words(pa.array(["xy"])).words_hash()[0]
 
 
 def test_segment_ends_depend_on_their_words_alone():
