@@ -164,9 +164,40 @@ def reachable(edges: DataFrame) -> DataFrame:
 
 def longest_path_rank(edges: DataFrame) -> DataFrame:
     """id, rank of every node at an end of an edge: 0 without incoming edges, else one more than the highest rank before it.
-    Nodes on cycles and behind them have a null rank."""
+    Nodes on cycles and behind them have a null rank. A small component is ranked in one task, a larger one by rounds of joins."""
     scratch = Scratch(edges.sparkSession, "rank")
-    left = scratch.keep(edges.select("from_id", "to_id").distinct())
+    edges = scratch.keep(edges.select("from_id", "to_id").where("from_id IS NOT NULL AND to_id IS NOT NULL").distinct())
+    comp = components(edges, "from_id", "to_id").select(F.col("node").alias("from_id"), F.col("rep").alias("component"))
+    placed = scratch.keep(edges.join(comp, "from_id"))
+    small = placed.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") <= WALK_EDGES).select("component")
+    ranks = placed.join(small, "component", "left_semi").groupBy("component").applyInPandas(_ranks, "id string, rank long")
+    large = scratch.keep(placed.join(small, "component", "left_anti").select("from_id", "to_id"))
+    return ranks if large.isEmpty() else ranks.unionByName(_rank_rounds(large, scratch))
+
+
+def _ranks(group: pd.DataFrame) -> pd.DataFrame:
+    """Nodes leave when all before them have left; each leaves its rank plus one to those behind."""
+    out: dict[str, list[str]] = {}
+    waiting: dict[str, int] = {}
+    for tail, head in group[["from_id", "to_id"]].itertuples(index=False):
+        out.setdefault(tail, []).append(head)
+        waiting[head] = waiting.get(head, 0) + 1
+        waiting.setdefault(tail, 0)
+    rank = {x: 0 for x, n in waiting.items() if n == 0}
+    ready = list(rank)
+    best = dict.fromkeys(waiting, 0)
+    while ready:
+        x = ready.pop()
+        for y in out.get(x, ()):
+            best[y] = max(best[y], rank[x] + 1)
+            waiting[y] -= 1
+            if waiting[y] == 0:
+                rank[y] = best[y]
+                ready.append(y)
+    return pd.DataFrame({"id": pd.Series(list(waiting), dtype=object), "rank": pd.array([rank.get(x) for x in waiting], dtype="Int64")})
+
+
+def _rank_rounds(left: DataFrame, scratch: Scratch) -> DataFrame:
     waiting = scratch.keep(left.select(F.col("from_id").alias("id")).union(left.select("to_id")).distinct())
     done, rank = [], 0
     while True:

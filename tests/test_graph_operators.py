@@ -106,7 +106,9 @@ def test_references(spark):
     assert sum(n for _, n in report.values()) == len(want)
 
 
-def test_graph_queries(spark):
+@pytest.mark.parametrize("walk", [50_000, 0])
+def test_graph_queries(spark, monkeypatch, walk):
+    monkeypatch.setattr(acyclic, "WALK_EDGES", walk)
     edge = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("x", "y"), ("y", "x"), ("y", "z")], "from_id string, to_id string")
     assert not acyclic.is_acyclic(edge).first()[0]
     assert acyclic.is_acyclic(edge.where("from_id < 'x'")).first()[0]
