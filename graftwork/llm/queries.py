@@ -20,6 +20,8 @@ from graftwork.plans.tables import table
 ALIKE, MIN_WORDS = 0.7, 8
 #: Batches of the history in which the ledger takes in the tables.
 WAVES = 3
+#: Buckets of the ledger: a batch rewrites those it touches.
+BUCKETS = 16
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,7 +32,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _waves(spark: SparkSession, rows: DataFrame) -> Ledger:
     """Feeds (id, key, batch) rows to a ledger as successive ranges of batches, as they would arrive."""
-    ledger = Ledger(spark)
+    ledger = Ledger(spark, BUCKETS)
     low, high = rows.select("batch").agg(F.min("batch"), F.max("batch")).first()
     if low is None:
         return ledger
