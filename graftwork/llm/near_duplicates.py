@@ -58,16 +58,18 @@ class BagMinHash:
         self.positions, self.seed = positions, seed
 
     def arrivals(self, hash_: np.ndarray, level: np.ndarray) -> np.ndarray:
-        """First arrival of each word at each position."""
+        """First arrival of each word at each position; level -1 has no weight and never arrives."""
         out = np.full((len(hash_), self.positions), np.inf, np.float32)
         place = mix(np.arange(self.positions, dtype=np.uint64) + np.uint64(self.seed << 20))
         for part in range(int(level.max(initial=-1)) + 1):
-            at = np.flatnonzero(level >= part)
             width = 1.0 if part == 0 else 2.0 ** (part - 1)
-            base = mix(hash_[at] + np.uint64(part * 0x632BE59BD9B4E019 % 2**64))
-            u = (mix(base[:, None] ^ place[None, :]) >> np.uint64(11)).astype(np.float64)
-            points = -np.log((u + 0.5) / 2.0**53) / width
-            out[at] = np.minimum(out[at], points.astype(np.float32))
+            have = np.flatnonzero(level >= part)
+            for a in range(0, len(have), 4096):
+                at = have[a : a + 4096]
+                base = mix(hash_[at] + np.uint64(part * 0x632BE59BD9B4E019 % 2**64))
+                u = (mix(base[:, None] ^ place[None, :]) >> np.uint64(11)).astype(np.float64)
+                points = -np.log((u + 0.5) / 2.0**53) / width
+                out[at] = np.minimum(out[at], points.astype(np.float32))
         return out
 
     def signatures(self, text: np.ndarray, code: np.ndarray, table: np.ndarray, n: int) -> np.ndarray:
