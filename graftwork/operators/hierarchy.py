@@ -8,7 +8,7 @@
 3. only pointers of nodes that others point to ("boundary") move on. They are merged level by
    level, eight partitions into one, as long as a merged partition stays under ``merge_rows``
    links; what is left between the last partitions is resolved by doubling joins. A merge task
-   therefore never holds more than ``merge_rows`` links, however large the table is;
+   therefore holds about ``merge_rows`` links at most (ranges of a hash fill evenly), however large the table is;
 4. nodes whose pointers never end lie on a cycle or below one; their own links are looked at alone.
 
 ``hierarchy_paths`` materialises root-to-node paths by following stored pointers whose reach doubles
@@ -107,8 +107,8 @@ def _merged(boundary: DataFrame, merge_rows: int) -> DataFrame:
     while parts > least:
         parts = max(least, parts // 8)
         # ranges of one hash: the partitions of a level are unions of those of the level below
-        slot = F.shiftrightunsigned(F.xxhash64("node"), 33) * parts / F.lit(2**31)
-        new = scratch.keep(level.repartition(parts, F.floor(slot)).mapInArrow(_local, POINTERS)) if parts > 1 else scratch.keep(level.coalesce(1).mapInArrow(_local, POINTERS))
+        slot = F.floor(F.shiftrightunsigned(F.xxhash64("node"), 33) * parts / F.lit(2**31)).cast("int")
+        new = scratch.keep((level.repartitionById(parts, slot) if parts > 1 else level.coalesce(1)).mapInArrow(_local, POINTERS))
         scratch.drop(level)
         level = new
     if least == 1:
