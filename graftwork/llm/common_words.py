@@ -85,6 +85,15 @@ class CommonWords:
             out |= (self.block[at] == slot >> 6) & ((self.bits[at] >> (slot & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
         return out
 
+    def counts(self, hash_: np.ndarray) -> np.ndarray:
+        """Texts that hold the word; 0 for words that are not common."""
+        out = np.zeros(len(hash_), np.int64)
+        if len(self.hash):
+            at = np.minimum(np.searchsorted(self.hash, hash_), len(self.hash) - 1)
+            there = self.hash[at] == hash_
+            out[there] = self.count[at[there]]
+        return out
+
     def information(self, hash_: np.ndarray, rare: int = RARE) -> np.ndarray:
         """ln(texts / texts with the word); words that are not common count as held by one text in ``rare``."""
         out = np.full(len(hash_), np.log(rare))

@@ -1,13 +1,14 @@
 """Near-duplicate records with small edits.
 
-Every distinct text (by its words in order) is a bag of its words, each weighted by how much it tells
-(its rarity over all texts, in powers of two; a word that no other text holds weighs nothing). ``BagMinHash`` gives a signature whose positions agree
-with the probability of the bags' weighted Jaccard similarity. Bands of the signature
-meet in one shuffle; pairs that share a band are tested against a parity sketch that travels along
+Candidates are exact: every distinct text (by its words in order) emits the keys of ``prefix_keys``, of which
+two alike texts always share one (rare words alone, common ones ``DEEP`` together; a word that no other text holds makes no key). Keys
+meet in one shuffle; pairs that share one are tested against a parity sketch that travels along
 and never refuses a true pair, and the few that remain are verified on the words themselves.
 
+``BagMinHash`` and ``band_keys`` are the banded signatures of weighted bags. They can miss a pair, so ``near_duplicates`` does not use them.
+
 Copies are collapsed to one class before anything is compared (the 64-bit hash of
-the words names the class), so a group of copies, however large, is one row of each band.
+the words names the class), so a group of copies, however large, is one row of each key.
 
 Defined results: null, empty and short texts (fewer than ``min_words`` distinct words) are alike to
 nothing; repeated rows of one id count once; texts with the same letters are copies, not near
@@ -24,9 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graftwork.llm.common_words import CommonWords
+from graftwork.llm.prefixes import prefix_keys
 from graftwork.llm.words import Words, mix, odd_sketch
 
-BANDS, ROWS = 22, 4
+#: So many common words make one key.
+DEEP = 3
 #: Exponent of a word's information in its weight, and weight levels (powers of two below the top).
 GAMMA, LEVELS = 1.0, 7
 #: A word is rare (and has the top weight) when fewer than one text in so many holds it.
@@ -36,6 +39,8 @@ SKETCH_BITS = 31
 #: A class travels as the first bits of its hash (two texts that share them cost a comparison, nothing else), a
 #: text's size up to SIZE_BITS; the exact test compares WORD_BYTES of each word's hash.
 CLASS_BITS, SIZE_BITS, WORD_BYTES = 40, 16, 5
+#: Texts whose keys are held at once.
+KEYED_ROWS = 2_000
 
 
 def weight_levels(information: np.ndarray, top: float, gamma: float = GAMMA, levels: int = LEVELS) -> np.ndarray:
@@ -98,56 +103,44 @@ def may_be_alike(a: Column, b: Column, size_a: Column, size_b: Column, least: fl
     return F.bit_count(a.bitwiseXOR(b)) <= most
 
 
-def _signed(common, bands: int, rows: int, min_words: int, seed: int):
+def _keyed(common, least: float, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = common.value
-        hasher = BagMinHash(bands * rows, seed)
-        known: dict[int, int] = {}  # word -> row of table
-        table = np.empty((0, bands * rows), np.float32)
         seen: set[int] = set()
-        for b in batches:
-            w = Words(b.column(0))
-            text, code = w.sets()
-            n = np.bincount(text, minlength=b.num_rows)
-            class_ = w.words_hash()
-            fresh = np.zeros(b.num_rows, bool)  # copies within a task are sent once
-            if len(seen) > 500_000:
-                seen = set()
-            for i in np.flatnonzero(n >= min_words).tolist():
-                if (c := int(class_[i])) not in seen:
-                    seen.add(c)
-                    fresh[i] = True
-            keep = fresh[text]
-            text, code = text[keep], code[keep]
-            if len(known) > 200_000:
-                known, table = {}, table[:0]
-            words_ = w.hash.tolist()
-            new = [i for i, h in enumerate(words_) if h not in known]
-            if new:
-                for i in new:
-                    known[words_[i]] = len(known)
-                level = weight_levels(weights.information(w.hash[new], RARE), np.log(RARE))
-                level[~weights.is_shared(w.hash[new])] = -1  # no weight: nobody else holds the word
-                table = np.concatenate([table, hasher.arrivals(w.hash[new], level)])
-            row = np.array([known[h] for h in words_], np.int64)
-            keys = band_keys(hasher.signatures(text, row[code], table, b.num_rows), bands, rows)[fresh]
-            sketch = odd_sketch(w.hash[code], text, b.num_rows, SKETCH_BITS)[fresh]
-            size = np.minimum(n[fresh], (1 << SIZE_BITS) - 1).astype(np.uint64)
-            name = class_[fresh] >> np.uint64(64 - CLASS_BITS)
-            # 40 bits of the key and 24 of the class; 16 of the class, the sketch and the size
-            first = (keys & ~np.uint64((1 << 24) - 1)) | (name >> np.uint64(16))[:, None]
-            second = ((name & np.uint64(0xFFFF)) << np.uint64(47)) | (sketch << np.uint64(SIZE_BITS)) | size
-            yield pa.RecordBatch.from_arrays([pa.array(first.ravel().view(np.int64)), pa.array(np.repeat(second, bands).view(np.int64))], ["k", "v"])
+        for whole in batches:
+            for a in range(0, whole.num_rows, KEYED_ROWS):
+                b = whole.slice(a, KEYED_ROWS)
+                w = Words(b.column(0))
+                text, code = w.sets()
+                n = np.bincount(text, minlength=b.num_rows)
+                class_ = w.words_hash()
+                fresh = np.zeros(b.num_rows, bool)  # copies within a task are sent once
+                if len(seen) > 500_000:
+                    seen = set()
+                for i in np.flatnonzero(n >= min_words).tolist():
+                    if (c := int(class_[i])) not in seen:
+                        seen.add(c)
+                        fresh[i] = True
+                keep = fresh[text]
+                text, code = text[keep], code[keep]
+                sketch = odd_sketch(w.hash[code], text, b.num_rows, SKETCH_BITS)
+                size = np.minimum(n, (1 << SIZE_BITS) - 1).astype(np.uint64)
+                name = class_ >> np.uint64(64 - CLASS_BITS)
+                # 40 bits of the key and 24 of the class; 16 of the class, the sketch and the size
+                second = ((name & np.uint64(0xFFFF)) << np.uint64(47)) | (sketch << np.uint64(SIZE_BITS)) | size
+                owner, keys = prefix_keys(text, code, w.hash, weights, least, min_words, DEEP)
+                first = (keys & ~np.uint64((1 << 24) - 1)) | (name >> np.uint64(16))[owner]
+                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(second[owner].view(np.int64))], ["k", "v"])
 
     return run
 
 
-def candidate_classes(texts: DataFrame, least: float, min_words: int, bands: int = BANDS, rows: int = ROWS, seed: int = 1) -> DataFrame:
-    """a, b: pairs of classes (a < b) that share a band and pass the sketch."""
+def candidate_classes(texts: DataFrame, least: float, min_words: int) -> DataFrame:
+    """a, b: pairs of classes (a < b) that share a key and pass the sketch."""
     spark = texts.sparkSession
     common = spark.sparkContext.broadcast(CommonWords.of(texts, rare=RARE, shared=True))
     # copies from different tasks meet in the shuffle by key and are dropped there, without another one
-    packed = texts.mapInArrow(_signed(common, bands, rows, min_words, seed), "k long, v long")
+    packed = texts.mapInArrow(_keyed(common, least, min_words), "k long, v long")
     left = packed.select(F.shiftrightunsigned("k", 24).alias("key"), F.col("k").bitwiseAND((1 << 24) - 1).alias("part"), "v").repartition("key").dropDuplicates()
     right = left.select(F.col("key"), F.col("part").alias("part2"), F.col("v").alias("v2"))
     name = lambda part, v: F.shiftleft(part, 16).bitwiseOR(F.shiftrightunsigned(v, 47))
@@ -199,11 +192,11 @@ def jaccard_at_least(a: Column, b: Column, least: float) -> Column:
     return both * 1000 >= (F.size(a) + F.size(b) - both) * round(least * 1000)
 
 
-def near_duplicates(df: DataFrame, id_: str, text: str, least: float = 0.8, min_words: int = 8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(df: DataFrame, id_: str, text: str, least: float = 0.8, min_words: int = 8) -> DataFrame:
     """id_a, id_b (id_a < id_b): records whose texts are alike but do not have the same letters."""
     rows_in = df.select(F.col(id_).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     kind = rows_in.schema["id"].dataType.simpleString()
-    pairs = candidate_classes(rows_in.select("text"), least, min_words, bands, rows)
+    pairs = candidate_classes(rows_in.select("text"), least, min_words)
     facts = rows_in.mapInArrow(_facts(min_words), f"id {kind}, class long, letters long, words binary").repartition("class")
     one = facts.select(F.col("class").alias("a"), F.col("id").alias("x"), F.col("letters").alias("letters_a"), F.col("words").alias("words_a"))
     two = facts.select(F.col("class").alias("b"), F.col("id").alias("y"), F.col("letters").alias("letters_b"), F.col("words").alias("words_b"))

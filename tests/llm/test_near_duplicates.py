@@ -141,3 +141,29 @@ def test_index_grows_by_batches(spark, tmp_path):
     whole = repeats_of_history(p.withColumn("batch", F.lit(1)), h.withColumn("batch", F.lit(0)), 0.7)
     assert got == {tuple(r) for r in whole.collect()}
     assert index.probe(p.where("false")).count() == 0
+
+
+def hot_group(seed=5):
+    """One text whose exact copies fill a third of the rows, with near-copies in ordinary words; and long texts of common words."""
+    rng = random.Random(seed)
+    pool = [f"ordinary{i}" for i in range(60)]
+    base = [f"hot{i}" for i in range(12)]
+    texts = [" ".join(base)] * 150
+    for _ in range(60):
+        edited = list(base)
+        for k in rng.sample(range(12), 2):
+            edited[k] = rng.choice(pool)
+        texts.append(" ".join(edited))
+    texts += [" ".join(rng.sample(pool, rng.randrange(8, 16))) for _ in range(150)]
+    long = [f"much{i}" for i in range(70)]
+    texts += [" ".join(rng.sample(long, n)) for n in (34, 40, 47, 48, 49, 50, 52, 60, 69, 70) for _ in range(4)]
+    return texts
+
+
+def test_every_pair_beside_a_hot_group(spark):
+    texts = hot_group()
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    got = {(r.id_a, r.id_b) for r in near_duplicates(df, "k", "text", 0.7).collect()}
+    want = {(j, i) for i, a in enumerate(texts) for j in range(i) if letters(a) != letters(texts[j]) and alike(a, texts[j], 0.7)}
+    assert len(want) > 9_000
+    assert got == want
