@@ -1,21 +1,17 @@
 """Deduplicating new batches against all history by a segment index.
 
-Two texts within a few word edits of each other (words changed, inserted, dropped, blocks moved) still share an unbroken
-run of words. A stored text is cut, once, into consecutive segments; segment i starts where segment i - 1 ended. (It is cut a second time from
-the middle of the first segment on, so that edits spread over all segments of one cut still miss some of the other.) A new text
-probes with the substrings that could be such segments and reads nothing else of the history.
+A stored text is entered, once, under the keys of ``prefix_keys``: its rarest words, common ones ``DEEP`` together. A new text
+probes with its own keys and reads nothing else of the history. Two texts that are alike always share a key; frequencies, which are
+frozen with the index, set only its cost. A further key, the letters of the whole text, finds exact copies, those of
+the shortest texts included.
 
-A segment ends as soon as its words tell ``MASS`` (in thousandths of natural units of information over all
-texts), so that its end follows from its start alone: a probe needs just one substring for each of its own
-words, whatever length the stored text has, and no segment consists of phrases that everybody uses. Texts
-that say little (up to ``LIGHT`` times the mass) are cut by ``LIGHT_MASS`` as well. A further key, the
-letters of the whole text, finds exact copies, those of the shortest texts included.
+``segment_ends`` cuts a text into runs of words of fixed information. Runs can miss a pair within the bound, so the index does not use them.
 
 What shares a key is tested against the parity sketch that is stored with it (never refuses a true pair)
 and then verified on the texts: the same letters, or edit distance (insertions and deletions) between the sets of words within
 the bound that the similarity sets for their sizes.
 
-``SegmentIndex`` keeps the index in a table, bucketed by key: ``append`` writes only the new texts' segments, ``probe`` reads
+``SegmentIndex`` keeps the index in a table, bucketed by key: ``append`` writes only the new texts' keys, ``probe`` reads
 only the buckets that the batch hits; texts accepted before are never split, hashed or read again.
 
 Defined results: null texts and texts without letters match nothing; a repeated row gives its pairs
@@ -32,11 +28,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graftwork.llm.common_words import CommonWords
-from graftwork.llm.near_duplicates import SKETCH_BITS, jaccard_at_least, may_be_alike
-from graftwork.llm.words import Runs, Words, letters, mix, odd_sketch, words
+from graftwork.llm.near_duplicates import KEYED_ROWS, jaccard_at_least, may_be_alike
+from graftwork.llm.prefixes import prefix_keys
+from graftwork.llm.words import Words, letters, mix, odd_sketch, words
 
-MASS, LIGHT_MASS, LIGHT = 12_000, 4_000, 3
-ROWS = "key long, ref long, sketch int, size short"
+#: So many common words make one key.
+DEEP = 2
+#: Pairs that share a key are many: a longer sketch than the pairs of a batch need keeps unlike ones from the texts.
+INDEX_BITS = 63
+ROWS = "key long, ref long, sketch long, size short"
 
 
 def segment_ends(mass: np.ndarray, start: np.ndarray, need: int) -> np.ndarray:
@@ -47,53 +47,31 @@ def segment_ends(mass: np.ndarray, start: np.ndarray, need: int) -> np.ndarray:
     return np.where(end <= limit, end, -1)
 
 
-def _rows(common, stored: bool, min_words: int):
+def _rows(common, least: float, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = common.value
-        for b in batches:
-            w = Words(b.column(1))
-            ref = b.column(0).to_numpy(zero_copy_only=False)
-            mass = np.rint(weights.information(w.hash) * 1000).astype(np.int64)[w.code]
-            text, code = w.sets()
-            size = np.bincount(text, minlength=b.num_rows)
-            sketch = odd_sketch(w.hash[code], text, b.num_rows, SKETCH_BITS).astype(np.uint32).view(np.int32)
-            runs = Runs(w.hash[w.code])
-            whole = np.bincount(w.text, weights=mass, minlength=b.num_rows)
-            some = np.flatnonzero(w.size > 0)
-            keys, owner, kind = [mix(w.letters_hash()[some] ^ np.uint64(0xA5A5))], [some], [np.zeros(len(some), np.int64)]
-            for need, fit in ((MASS, size >= min_words), (LIGHT_MASS, (size >= min_words) & (whole <= MASS * LIGHT * (1 if stored else 1.5)))):
-                ends = segment_ends(mass, w.start, need)
-                if stored:
-                    # two rows of segments: from the first word, and from the middle of the first segment
-                    at = w.start[:-1][fit & (w.size > 0)]
-                    at = np.unique(np.r_[at, at + np.maximum(ends[at] - at, 0) // 2])
-                    while len(at):
-                        at = at[ends[at] > 0]
-                        keys.append(runs.of(at, ends[at]))
-                        owner.append(w.text[at])
-                        kind.append(np.ones(len(at), np.int64))
-                        follow = ends[at]
-                        same = follow < w.start[w.text[at] + 1]
-                        at = follow[same]
-                else:
-                    at = np.flatnonzero((ends > 0) & fit[w.text])
-                    keys.append(runs.of(at, ends[at]))
-                    owner.append(w.text[at])
-                    kind.append(np.ones(len(at), np.int64))
-            keys, owner, kind = np.concatenate(keys), np.concatenate(owner), np.concatenate(kind)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ref[owner]), pa.array(sketch[owner]), pa.array(np.where(kind == 0, 0, np.minimum(size[owner], 32_000)).astype(np.int16))], ["key", "ref", "sketch", "size"])
+        for whole in batches:
+            for a in range(0, whole.num_rows, KEYED_ROWS):
+                b = whole.slice(a, KEYED_ROWS)
+                w = Words(b.column(1))
+                ref = b.column(0).to_numpy(zero_copy_only=False)
+                text, code = w.sets()
+                size = np.bincount(text, minlength=b.num_rows)
+                sketch = odd_sketch(w.hash[code], text, b.num_rows, INDEX_BITS).view(np.int64)
+                some = np.flatnonzero(w.size > 0)
+                fit = (size >= min_words)[text]
+                owner, keys = prefix_keys(text[fit], code[fit], w.hash, weights, least, min_words, DEEP)
+                kind = np.r_[np.zeros(len(some), np.int64), np.ones(len(owner), np.int64)]
+                keys = np.r_[mix(w.letters_hash()[some] ^ np.uint64(0xA5A5)), keys]
+                owner = np.r_[some, owner]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ref[owner]), pa.array(sketch[owner]), pa.array(np.where(kind == 0, 0, np.minimum(size[owner], 32_000)).astype(np.int16))], ["key", "ref", "sketch", "size"])
 
     return run
 
 
-def index_rows(texts: DataFrame, common, min_words: int = 8) -> DataFrame:
-    """key, ref, sketch, size of the segments of (ref, text) rows; size 0 marks the key of the letters."""
-    return texts.where("text IS NOT NULL").mapInArrow(_rows(common, True, min_words), ROWS)
-
-
-def probe_rows(texts: DataFrame, common, min_words: int = 8) -> DataFrame:
-    """The same for a new batch: every substring that may be a stored segment."""
-    return texts.where("text IS NOT NULL").mapInArrow(_rows(common, False, min_words), ROWS)
+def index_rows(texts: DataFrame, common, least: float, min_words: int = 8) -> DataFrame:
+    """key, ref, sketch, size of the keys of (ref, text) rows, stored or new; size 0 marks the key of the letters."""
+    return texts.where("text IS NOT NULL").mapInArrow(_rows(common, least, min_words), ROWS)
 
 
 def meet(probes: DataFrame, index: DataFrame, least: float) -> DataFrame:
@@ -117,15 +95,15 @@ def repeats_of_history(new: DataFrame, history: DataFrame, least: float = 0.8, m
     common = spark.sparkContext.broadcast(CommonWords.of(history.select("text")))
     old = history.select(F.xxhash64("old_id").alias("stored"), "old_id", F.col("text").alias("old_text"), F.col("batch").alias("old_batch"))
     fresh = new.select(F.col("new_id").alias("probe"), F.col("text").alias("new_text"), F.col("batch").alias("new_batch"))
-    index = index_rows(old.select(F.col("stored").alias("ref"), F.col("old_text").alias("text")), common, min_words)
-    probes = probe_rows(fresh.select(F.col("probe").alias("ref"), F.col("new_text").alias("text")), common, min_words)
+    index = index_rows(old.select(F.col("stored").alias("ref"), F.col("old_text").alias("text")), common, least, min_words)
+    probes = index_rows(fresh.select(F.col("probe").alias("ref"), F.col("new_text").alias("text")), common, least, min_words)
     pairs = meet(probes, index, least)
     told = pairs.join(old, "stored").join(fresh, "probe").where("old_batch < new_batch")
     return told.where(same_or_alike(F.col("new_text"), F.col("old_text"), least, min_words)).select(F.col("probe").alias("new_id"), "old_id").distinct()
 
 
 class SegmentIndex:
-    """The index as a table under ``path``: segments by bucket, the accepted texts by ref, and the frozen word weights."""
+    """The index as a table under ``path``: keys by bucket, the accepted texts by ref, and the frozen word weights."""
 
     BUCKETS = 256
 
@@ -136,14 +114,14 @@ class SegmentIndex:
     def append(self, batch: DataFrame) -> None:
         """Adds accepted (old_id, text) rows; nothing stored before is read or written."""
         rows = batch.select(F.xxhash64("old_id").alias("ref"), "text")
-        segments = index_rows(rows, self.common, self.min_words).withColumn("bucket", F.pmod("key", F.lit(self.BUCKETS)).cast("int"))
+        segments = index_rows(rows, self.common, self.least, self.min_words).withColumn("bucket", F.pmod("key", F.lit(self.BUCKETS)).cast("int"))
         segments.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/segments")
         kept = batch.select(F.xxhash64("old_id").alias("stored"), "old_id", F.col("text").alias("old_text"))
         kept.withColumn("bucket", F.pmod("stored", F.lit(self.BUCKETS)).cast("int")).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/texts")
 
     def probe(self, batch: DataFrame) -> DataFrame:
         """new_id, old_id for the rows (new_id, text) of a batch that repeat a stored text."""
-        probes = probe_rows(batch.select(F.col("new_id").alias("ref"), "text"), self.common, self.min_words)
+        probes = index_rows(batch.select(F.col("new_id").alias("ref"), "text"), self.common, self.least, self.min_words)
         probes = probes.withColumn("bucket", F.pmod("key", F.lit(self.BUCKETS)).cast("int"))
         hit = [r[0] for r in probes.select("bucket").distinct().collect()]  # at most BUCKETS numbers
         if not hit:

@@ -167,3 +167,24 @@ def test_every_pair_beside_a_hot_group(spark):
     want = {(j, i) for i, a in enumerate(texts) for j in range(i) if letters(a) != letters(texts[j]) and alike(a, texts[j], 0.7)}
     assert len(want) > 9_000
     assert got == want
+
+
+def test_every_repeat_of_a_skewed_history(spark):
+    rng = random.Random(6)
+    pool = [f"ordinary{i}" for i in range(400)]
+
+    def variant(base, n):
+        edited = list(base)
+        for k in rng.sample(range(len(base)), n):
+            edited[k] = rng.choice(pool)
+        return " ".join(edited)
+
+    bases = [rng.sample(pool, n) for n in (10, 30)]
+    old = [variant(b, rng.randrange(0, len(b) // 6 + 1)) for b in bases for _ in range(60)] + [" ".join(rng.sample(pool, rng.randrange(8, 20))) for _ in range(240)]
+    new = [variant(b, rng.randrange(0, len(b) // 6 + 1)) for b in bases for _ in range(60)]
+    h = spark.createDataFrame([(f"n{i}", t, 0) for i, t in enumerate(old)], "old_id string, text string, batch long")
+    p = spark.createDataFrame([(i, t, 1) for i, t in enumerate(new)], "new_id long, text string, batch long")
+    got = {tuple(r) for r in repeats_of_history(p, h, 0.7).collect()}
+    want = {(i, f"n{j}") for i, a in enumerate(new) for j, b in enumerate(old) if letters(a) == letters(b) or alike(a, b, 0.7)}
+    assert len(want) > 2_000
+    assert got == want
