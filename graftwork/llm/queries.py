@@ -31,11 +31,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _waves(spark: SparkSession, rows: DataFrame) -> Ledger:
-    """Feeds (id, key, batch) rows to a ledger as successive ranges of batches, as they would arrive."""
+    """Feeds (id, key, batch) rows to a ledger as successive ranges of batches, as they would arrive; rows without a batch come with the first."""
     ledger = Ledger(spark, BUCKETS)
     low, high = rows.select("batch").agg(F.min("batch"), F.max("batch")).first()
     if low is None:
+        ledger.add(rows)
         return ledger
+    rows = rows.withColumn("batch", F.coalesce("batch", F.lit(low)))
     step = (high - low) // WAVES + 1
     for k in range(WAVES):
         ledger.add(rows.where((F.col("batch") >= low + k * step) & (F.col("batch") < low + (k + 1) * step)))

@@ -45,3 +45,12 @@ def test_json_keys(spark):
 
 def test_canonical_values():
     assert canonical({"b": [2, "A b", None], "a": {"y": True, "x": 1.5}}) == {"a": {"x": "15", "y": True}, "b": ["2", "ab", None]}
+
+
+def test_rows_without_a_batch_count(spark):
+    from graftwork.llm.queries import _waves
+
+    rows = keyed(spark, [(1, "one text", None), (2, "One text!", None), (3, "other", None), (4, "one  text", None)])
+    some = rows.withColumn("batch", F.when(F.col("id") == 1, 7).when(F.col("id") == 4, 9))
+    for table in (some, some.withColumn("batch", F.lit(None).cast("int"))):
+        assert counts(_waves(spark, table)) == [(1, 3), (3, 1)]
