@@ -94,11 +94,8 @@ class CommonWords:
             out[there] = self.count[at[there]]
         return out
 
-    def information(self, hash_: np.ndarray, rare: int = RARE) -> np.ndarray:
-        """ln(texts / texts with the word); words that are not common count as held by one text in ``rare``."""
-        out = np.full(len(hash_), np.log(rare))
-        if len(self.hash):
-            at = np.minimum(np.searchsorted(self.hash, hash_), len(self.hash) - 1)
-            there = self.hash[at] == hash_
-            out[there] = np.log(np.maximum(1.0, self.texts / self.count[at[there]]))
-        return np.minimum(out, np.log(rare))
+    def share(self, hash_: np.ndarray, rare: int = RARE) -> np.ndarray:
+        """Share of the texts that hold the word, at most: words that are not common count as held by one text in ``rare``, unshared ones as held by none."""
+        n = self.counts(hash_)
+        out = np.maximum(n / max(1, self.texts), 1 / rare)
+        return np.where((n > 1) | self.is_shared(hash_), out, 0.0)

@@ -1,14 +1,15 @@
-"""Near-duplicate records with small edits.
+"""Near-duplicate records with small edits: BagMinHash, bands, and a check of the overlap.
 
-Candidates are exact: every distinct text (by its words in order) emits the keys of ``prefix_keys``, of which
-two alike texts always share one (rare words alone, common ones ``DEEP`` together; a word that no other text holds makes no key). Keys
-meet in one shuffle; pairs that share one are tested against a parity sketch that travels along
-and never refuses a true pair, and the few that remain are verified on the words themselves.
+Every word owns the Poisson processes of ``BagMinHash``, whose rate is its weight (the rarer, the larger, in powers of two). Its first arrival
+is the same in every text, so a text's signature is its earliest arrivals: not one for each of a fixed number of positions, which can miss a
+pair, but as many of one position as two alike texts need to have one in common for certain (``prefix_keys``; for 22 words at
+0.7 these are seven). Bands are single arrivals of rare words and runs of arrivals of common ones; they meet in one
+shuffle. Pairs that share one are tested against a parity sketch that travels along and never refuses a
+true pair, and the few that remain are verified on the words themselves.
 
-``BagMinHash`` and ``band_keys`` are the banded signatures of weighted bags. They can miss a pair, so ``near_duplicates`` does not use them.
-
-Copies are collapsed to one class before anything is compared (the 64-bit hash of
-the words names the class), so a group of copies, however large, is one row of each key.
+Copies are collapsed to one class before anything is compared (the hash of the words in order names the class), so a
+group of copies, however large, is one row of each band and of the verification. Classes travel by the first 40 bits of their name;
+the verification and all after it use all 64.
 
 Defined results: null, empty and short texts (fewer than ``min_words`` distinct words) are alike to
 nothing; repeated rows of one id count once; texts with the same letters are copies, not near
@@ -25,30 +26,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graftwork.llm.common_words import CommonWords
-from graftwork.llm.prefixes import prefix_keys
+from graftwork.llm.prefixes import ordered, prefix_keys
 from graftwork.llm.words import Words, mix, odd_sketch
 
-#: So many common words make one key.
-DEEP = 3
-#: Exponent of a word's information in its weight, and weight levels (powers of two below the top).
-GAMMA, LEVELS = 1.0, 7
+#: A band takes arrivals until no more than FEW texts are expected to share it, DEEP at most.
+FEW, DEEP = 256, 4
+#: Exponent of a word's rarity in its weight, and weight levels (powers of two).
+GAMMA, LEVELS = 2.0, 28
 #: A word is rare (and has the top weight) when fewer than one text in so many holds it.
-RARE = 2048
-#: 31, not 32: the sketch stays a non-negative INT, and Spark counts the bits of a negative one as of a BIGINT.
-SKETCH_BITS = 31
-#: A class travels as the first bits of its hash (two texts that share them cost a comparison, nothing else), a
-#: text's size up to SIZE_BITS; the exact test compares WORD_BYTES of each word's hash.
-CLASS_BITS, SIZE_BITS, WORD_BYTES = 40, 16, 5
+RARE = 8192
+SKETCH_BITS = 40
+#: A class travels as the first bits of its hash, a text's size in SIZE_BITS (``size_code``); the exact test compares WORD_BYTES of each word's hash.
+CLASS_BITS, SIZE_BITS, WORD_BYTES = 40, 8, 5
 #: Texts whose keys are held at once.
 KEYED_ROWS = 2_000
 
 
-def weight_levels(information: np.ndarray, top: float, gamma: float = GAMMA, levels: int = LEVELS) -> np.ndarray:
-    """Level of each word: its weight (information / top) ** gamma, rounded to a power of two; level L stands for 2 ** (L - levels + 1)."""
-    share = np.maximum(information / top, 1e-9)
-    return np.clip(np.rint(np.log2(share) * gamma) + levels - 1, 0, levels - 1).astype(np.int64)
-
-
 class BagMinHash:
     """Signatures of weighted bags.
 
@@ -88,13 +81,21 @@ class BagMinHash:
         return out
 
 
-def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit key for each band."""
-    bits = signatures.reshape(len(signatures), bands, rows).view(np.uint32).astype(np.uint64)
-    key = np.broadcast_to(np.arange(bands, dtype=np.uint64), bits.shape[:2]).copy()
-    for r in range(rows):
-        key = mix(key ^ bits[:, :, r])
-    return key
+def arrival_order(hash_: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """First arrival of each word at one position, -1 for words that no other text holds (they go first and make no band)."""
+    level = LEVELS - 1 - np.rint(GAMMA * np.log2(np.maximum(share * RARE, 1))).astype(np.int64)
+    return np.where(share > 0, BagMinHash(1).arrivals(hash_, np.clip(level, 0, LEVELS - 1))[:, 0], -1.0)
+
+
+def size_code(size: np.ndarray) -> np.ndarray:
+    """A size as a number below 256: itself up to 63, beyond that in steps of a ninth, rounded up."""
+    n = np.maximum(size, 1)
+    return np.where(n < 64, n, np.minimum(63 + np.ceil(np.log(n / 63.0) * 9.5), 255)).astype(np.uint64)
+
+
+def most_words(code: Column) -> Column:
+    """The largest size with this code (the last code has no largest)."""
+    return F.when(code < 64, code).when(code < 255, F.floor(63 * F.exp((code - 63) / 9.5)) + 1).otherwise(1e12)
 
 
 def may_be_alike(a: Column, b: Column, size_a: Column, size_b: Column, least: float) -> Column:
@@ -114,92 +115,128 @@ def _keyed(common, least: float, min_words: int):
                 text, code = w.sets()
                 n = np.bincount(text, minlength=b.num_rows)
                 class_ = w.words_hash()
-                fresh = np.zeros(b.num_rows, bool)  # copies within a task are sent once
-                if len(seen) > 500_000:
-                    seen = set()
-                for i in np.flatnonzero(n >= min_words).tolist():
-                    if (c := int(class_[i])) not in seen:
-                        seen.add(c)
-                        fresh[i] = True
+                fresh = _fresh(class_, n >= min_words, seen)  # copies within a task are sent once
                 keep = fresh[text]
-                text, code = text[keep], code[keep]
+                share = weights.share(w.hash, RARE)
+                text, code = ordered(text[keep], code[keep], arrival_order(w.hash, share), w.hash)
                 sketch = odd_sketch(w.hash[code], text, b.num_rows, SKETCH_BITS)
-                size = np.minimum(n, (1 << SIZE_BITS) - 1).astype(np.uint64)
                 name = class_ >> np.uint64(64 - CLASS_BITS)
                 # 40 bits of the key and 24 of the class; 16 of the class, the sketch and the size
-                second = ((name & np.uint64(0xFFFF)) << np.uint64(47)) | (sketch << np.uint64(SIZE_BITS)) | size
-                owner, keys = prefix_keys(text, code, w.hash, weights, least, min_words, DEEP)
+                second = ((name & np.uint64(0xFFFF)) << np.uint64(48)) | (sketch << np.uint64(SIZE_BITS)) | size_code(n)
+                owner, keys, _ = prefix_keys(text, code, w.hash, share, weights.texts, least, min_words, DEEP, FEW)
                 first = (keys & ~np.uint64((1 << 24) - 1)) | (name >> np.uint64(16))[owner]
                 yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(second[owner].view(np.int64))], ["k", "v"])
 
     return run
 
 
+def _fresh(names: np.ndarray, wanted: np.ndarray, seen: set[int]) -> np.ndarray:
+    """The wanted rows whose name this task has not had before, as far as it remembers."""
+    if len(seen) > 500_000:
+        seen.clear()
+    out = np.zeros(len(names), bool)
+    for i in np.flatnonzero(wanted).tolist():
+        if (c := int(names[i])) not in seen:
+            seen.add(c)
+            out[i] = True
+    return out
+
+
 def candidate_classes(texts: DataFrame, least: float, min_words: int) -> DataFrame:
-    """a, b: pairs of classes (a < b) that share a key and pass the sketch."""
+    """a, b: pairs of class names of CLASS_BITS (a < b) that share a band and pass the sketch."""
     spark = texts.sparkSession
     common = spark.sparkContext.broadcast(CommonWords.of(texts, rare=RARE, shared=True))
     # copies from different tasks meet in the shuffle by key and are dropped there, without another one
     packed = texts.mapInArrow(_keyed(common, least, min_words), "k long, v long")
     left = packed.select(F.shiftrightunsigned("k", 24).alias("key"), F.col("k").bitwiseAND((1 << 24) - 1).alias("part"), "v").repartition("key").dropDuplicates()
     right = left.select(F.col("key"), F.col("part").alias("part2"), F.col("v").alias("v2"))
-    name = lambda part, v: F.shiftleft(part, 16).bitwiseOR(F.shiftrightunsigned(v, 47))
+    name = lambda part, v: F.shiftleft(part, 16).bitwiseOR(F.shiftrightunsigned(v, 48))
     sketch = lambda v: F.shiftrightunsigned(v, SIZE_BITS).bitwiseAND((1 << SKETCH_BITS) - 1)
-    size = lambda v: v.bitwiseAND((1 << SIZE_BITS) - 1)
-    both = left.hint("merge").join(right, "key")
+    size = lambda v: most_words(v.bitwiseAND((1 << SIZE_BITS) - 1))
+    a, b = name(F.col("part"), F.col("v")), name(F.col("part2"), F.col("v2"))
     fits = may_be_alike(sketch(F.col("v")), sketch(F.col("v2")), size(F.col("v")), size(F.col("v2")), least)
-    pairs = both.where((F.col("v") != F.col("v2")) & fits).select(name(F.col("part"), F.col("v")).alias("a"), name(F.col("part2"), F.col("v2")).alias("b"))
-    return pairs.where("a < b").distinct()
+    return left.hint("merge").join(right, "key").where((a < b) & fits).select(a.alias("a"), b.alias("b")).distinct()
 
 
-def _facts(min_words: int):
-    """class, letters and the distinct words of each text that has enough of them, for the exact test."""
+def _facts(min_words: int, kind: str):
+    """members: id, class and letters of each text that has enough words; words: class and distinct words, once for each class of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            w = Words(b.column(1))
-            text, code = w.sets()
-            n = np.bincount(text, minlength=b.num_rows)
-            keep = n >= min_words
-            prints = w.hash[code][keep[text]]
-            blob = prints[:, None].view(np.uint8)[:, 8 - WORD_BYTES :].tobytes()
-            ends = np.r_[0, np.cumsum(n[keep])] * WORD_BYTES
-            facts = pa.Array.from_buffers(pa.binary(), int(keep.sum()), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(blob)])
-            name = (w.words_hash()[keep] >> np.uint64(64 - CLASS_BITS)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), pa.array(name), pa.array(w.letters_hash()[keep].view(np.int64)), facts], ["id", "class", "letters", "words"])
+        seen: set[int] = set()
+        for whole in batches:
+            for a in range(0, whole.num_rows, KEYED_ROWS):
+                b = whole.slice(a, KEYED_ROWS)
+                w = Words(b.column(b.num_columns - 1))
+                text, code = w.sets()
+                n = np.bincount(text, minlength=b.num_rows)
+                keep, class_ = n >= min_words, w.words_hash()
+                if kind == "members":
+                    yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), pa.array(class_[keep].view(np.int64)), pa.array(w.letters_hash()[keep].view(np.int64))], ["id", "class", "letters"])
+                    continue
+                keep = _fresh(class_, keep, seen)
+                yield pa.RecordBatch.from_arrays([pa.array(class_[keep].view(np.int64)), packed_words(w.hash[code][keep[text]], n[keep])], ["class", "words"])
 
     return run
 
 
-def _alike(least: float, kind: str):
+def packed_words(hash_: np.ndarray, size: np.ndarray) -> pa.Array:
+    """WORD_BYTES of each word's hash, one value for each set."""
+    blob = hash_[:, None].view(np.uint8)[:, 8 - WORD_BYTES :].tobytes()
+    ends = np.r_[0, np.cumsum(size)] * WORD_BYTES
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(blob)])
+
+
+def _rows_of_words(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of every word of packed sets."""
+    blob = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(-1, WORD_BYTES)
+    wide = np.zeros((len(blob), 8), np.uint8)
+    wide[:, :WORD_BYTES] = blob
+    n = np.array([len(x) for x in packed.to_pylist()], np.int64) // WORD_BYTES
+    return np.repeat(np.arange(len(n)), n), wide.view(np.uint64)[:, 0]
+
+
+def alike_sets(a: pa.Array, b: pa.Array, least: float) -> np.ndarray:
+    """Exact test on packed sets, in whole numbers of thousandths. The sets differ by insertions and deletions alone."""
+    row_a, hash_a = _rows_of_words(a)
+    row_b, hash_b = _rows_of_words(b)
+    n_a, n_b = (np.bincount(r, minlength=len(a)) for r in (row_a, row_b))
+    both = np.concatenate([row_a.astype(np.uint64) << np.uint64(40) | hash_a, row_b.astype(np.uint64) << np.uint64(40) | hash_b])
+    both.sort()
+    common = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(40)).astype(np.int64), minlength=len(a))
+    return common * 1000 >= (n_a + n_b - common) * round(least * 1000)
+
+
+def _alike(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cut = lambda x: {x[k : k + WORD_BYTES] for k in range(0, len(x), WORD_BYTES)}
-            keep = []
-            for x, y in zip(b["words_a"].to_pylist(), b["words_b"].to_pylist(), strict=True):
-                s, t = cut(x), cut(y)
-                both = len(s & t)
-                keep.append(both * 1000 >= (len(s) + len(t) - both) * round(least * 1000))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b["id_a"].filter(mask), b["id_b"].filter(mask)], ["id_a", "id_b"])
+            keep = pa.array(alike_sets(b["words_a"], b["words_b"], least))
+            yield pa.RecordBatch.from_arrays([b["class_a"].filter(keep), b["class_b"].filter(keep)], ["class_a", "class_b"])
 
     return run
 
 
-def jaccard_at_least(a: Column, b: Column, least: float) -> Column:
-    """Exact test on arrays of distinct words, in whole numbers of thousandths."""
-    both = F.size(F.array_intersect(a, b))
-    return both * 1000 >= (F.size(a) + F.size(b) - both) * round(least * 1000)
+def alike_classes(df: DataFrame, id_: str, text: str, least: float = 0.8, min_words: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(class_a, class_b) of every two classes that are alike, and (id, class, letters) of every text: the result without
+    the pairs within and between groups of copies."""
+    rows_in = df.select(F.col(id_).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    kind = rows_in.schema["id"].dataType.simpleString()
+    texts = rows_in.select("text")
+    name = F.shiftrightunsigned("class", 64 - CLASS_BITS)
+    pairs = candidate_classes(texts, least, min_words)
+    known = texts.mapInArrow(_facts(min_words, "words"), "class long, words binary").withColumn("name", name).repartition("name").dropDuplicates()
+    one = known.select(F.col("name").alias("a"), F.col("class").alias("class_a"), F.col("words").alias("words_a"))
+    two = known.select(F.col("name").alias("b"), F.col("class").alias("class_b"), F.col("words").alias("words_b"))
+    # classes that share a name are no candidates of each other yet
+    twins = one.join(two, F.col("a") == F.col("b")).where("class_a < class_b")
+    told = pairs.join(one, "a").join(two, "b").select("class_a", "words_a", "class_b", "words_b").unionByName(twins.select("class_a", "words_a", "class_b", "words_b"))
+    members = rows_in.mapInArrow(_facts(min_words, "members"), f"id {kind}, class long, letters long")
+    return told.mapInArrow(_alike(least), "class_a long, class_b long"), members
 
 
 def near_duplicates(df: DataFrame, id_: str, text: str, least: float = 0.8, min_words: int = 8) -> DataFrame:
     """id_a, id_b (id_a < id_b): records whose texts are alike but do not have the same letters."""
-    rows_in = df.select(F.col(id_).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    kind = rows_in.schema["id"].dataType.simpleString()
-    pairs = candidate_classes(rows_in.select("text"), least, min_words)
-    facts = rows_in.mapInArrow(_facts(min_words), f"id {kind}, class long, letters long, words binary").repartition("class")
-    one = facts.select(F.col("class").alias("a"), F.col("id").alias("x"), F.col("letters").alias("letters_a"), F.col("words").alias("words_a"))
-    two = facts.select(F.col("class").alias("b"), F.col("id").alias("y"), F.col("letters").alias("letters_b"), F.col("words").alias("words_b"))
-    told = pairs.join(one, "a").join(two, "b").where("x <> y AND letters_a <> letters_b")
-    ordered = told.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "words_a", "words_b")
-    return ordered.mapInArrow(_alike(least, kind), f"id_a {kind}, id_b {kind}").distinct()
+    pairs, members = alike_classes(df, id_, text, least, min_words)
+    one = members.select(F.col("class").alias("class_a"), F.col("id").alias("x"), F.col("letters").alias("letters_a"))
+    two = members.select(F.col("class").alias("class_b"), F.col("id").alias("y"), F.col("letters").alias("letters_b"))
+    told = pairs.join(one, "class_a").join(two, "class_b").where("x <> y AND letters_a <> letters_b")
+    return told.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

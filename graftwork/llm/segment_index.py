@@ -28,12 +28,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graftwork.llm.common_words import CommonWords
-from graftwork.llm.near_duplicates import KEYED_ROWS, jaccard_at_least, may_be_alike
-from graftwork.llm.prefixes import prefix_keys
+from graftwork.llm.near_duplicates import KEYED_ROWS, may_be_alike
+from graftwork.llm.prefixes import ordered, prefix_keys
 from graftwork.llm.words import Words, letters, mix, odd_sketch, words
 
 #: So many common words make one key.
-DEEP = 2
+DEEP, FEW = 2, 64
 #: Pairs that share a key are many: a longer sketch than the pairs of a batch need keeps unlike ones from the texts.
 INDEX_BITS = 63
 ROWS = "key long, ref long, sketch long, size short"
@@ -60,7 +60,9 @@ def _rows(common, least: float, min_words: int):
                 sketch = odd_sketch(w.hash[code], text, b.num_rows, INDEX_BITS).view(np.int64)
                 some = np.flatnonzero(w.size > 0)
                 fit = (size >= min_words)[text]
-                owner, keys = prefix_keys(text[fit], code[fit], w.hash, weights, least, min_words, DEEP)
+                share = weights.share(w.hash)
+                t, c = ordered(text[fit], code[fit], share, w.hash)
+                owner, keys, _ = prefix_keys(t, c, w.hash, share, weights.texts, least, min_words, DEEP, FEW)
                 kind = np.r_[np.zeros(len(some), np.int64), np.ones(len(owner), np.int64)]
                 keys = np.r_[mix(w.letters_hash()[some] ^ np.uint64(0xA5A5)), keys]
                 owner = np.r_[some, owner]
@@ -83,6 +85,12 @@ def meet(probes: DataFrame, index: DataFrame, least: float) -> DataFrame:
     return both.where(copies | ((F.col("n1") > 0) & (F.col("n2") > 0) & may_be_alike(F.col("s1"), F.col("s2"), F.col("n1"), F.col("n2"), least))).select("probe", "stored").distinct()
 
 
+def jaccard_at_least(a: Column, b: Column, least: float) -> Column:
+    """Exact test on arrays of distinct words, in whole numbers of thousandths."""
+    both = F.size(F.array_intersect(a, b))
+    return both * 1000 >= (F.size(a) + F.size(b) - both) * round(least * 1000)
+
+
 def same_or_alike(a: Column, b: Column, least: float, min_words: int) -> Column:
     """The same letters (at least one), or alike: at least so many distinct words each, of which enough in common."""
     la, wa, wb = letters(a), F.array_distinct(words(a)), F.array_distinct(words(b))
