@@ -4,8 +4,8 @@ Every word owns the Poisson processes of ``BagMinHash``, whose rate is its weigh
 is the same in every text, so a text's signature is its earliest arrivals: not one for each of a fixed number of positions, which can miss a
 pair, but as many of one position as two alike texts need to have one in common for certain (``prefix_keys``; for 22 words at
 0.7 these are seven). Bands are single arrivals of rare words and runs of arrivals of common ones; they meet in one
-shuffle. Pairs that share one are tested against a parity sketch that travels along and never refuses a
-true pair, and the few that remain are verified on the words themselves.
+shuffle. Texts that share one are compared in whole arrays: their places in the two signatures bound the overlap, and a parity
+sketch that travels along never refuses a true pair. The few that remain are verified on the words themselves.
 
 Copies are collapsed to one class before anything is compared (the hash of the words in order names the class), so a
 group of copies, however large, is one row of each band and of the verification. Classes travel by the first 40 bits of their name;
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graftwork.llm.common_words import CommonWords
@@ -30,16 +30,17 @@ from graftwork.llm.prefixes import ordered, prefix_keys
 from graftwork.llm.words import Words, mix, odd_sketch
 
 #: A band takes arrivals until no more than FEW texts are expected to share it, DEEP at most.
-FEW, DEEP = 256, 4
+FEW, DEEP = 512, 4
 #: Exponent of a word's rarity in its weight, and weight levels (powers of two).
 GAMMA, LEVELS = 2.0, 28
 #: A word is rare (and has the top weight) when fewer than one text in so many holds it.
 RARE = 8192
-SKETCH_BITS = 40
-#: A class travels as the first bits of its hash, a text's size in SIZE_BITS (``size_code``); the exact test compares WORD_BYTES of each word's hash.
-CLASS_BITS, SIZE_BITS, WORD_BYTES = 40, 8, 5
-#: Texts whose keys are held at once.
-KEYED_ROWS = 2_000
+#: A band row is two numbers: 36 bits of the band and 28 of the class; 12 of the class, the sketch, the place and the size (``size_code``).
+BAND_BITS, CLASS_BITS, SKETCH_BITS, PLACE_BITS, SIZE_BITS = 36, 40, 40, 4, 8
+#: The exact test compares so many bytes of each word's hash.
+WORD_BYTES = 5
+#: Texts whose keys, and pairs of band rows, that are held at once.
+KEYED_ROWS, PAIRS = 2_000, 1 << 21
 
 
 class BagMinHash:
@@ -93,15 +94,16 @@ def size_code(size: np.ndarray) -> np.ndarray:
     return np.where(n < 64, n, np.minimum(63 + np.ceil(np.log(n / 63.0) * 9.5), 255)).astype(np.uint64)
 
 
-def most_words(code: Column) -> Column:
+def most_words(code: np.ndarray) -> np.ndarray:
     """The largest size with this code (the last code has no largest)."""
-    return F.when(code < 64, code).when(code < 255, F.floor(63 * F.exp((code - 63) / 9.5)) + 1).otherwise(1e12)
+    n = code.astype(np.float64)
+    return np.where(n < 64, n, np.where(n < 255, np.floor(63 * np.exp((n - 63) / 9.5)) + 1, 1e12))
 
 
-def may_be_alike(a: Column, b: Column, size_a: Column, size_b: Column, least: float) -> Column:
-    """False only if the sets can't reach the similarity: at similarity t sets of sizes a and b differ in no more than (a + b)(1 - t)/(1 + t) words."""
-    most = (size_a + size_b) * F.lit((1 - least) / (1 + least)) + 1e-9
-    return F.bit_count(a.bitwiseXOR(b)) <= most
+def least_words(code: np.ndarray) -> np.ndarray:
+    """The smallest size with this code."""
+    n = code.astype(np.float64)
+    return np.where(n < 64, n, np.floor(63 * np.exp((n - 64) / 9.5)))
 
 
 def _keyed(common, least: float, min_words: int):
@@ -115,22 +117,23 @@ def _keyed(common, least: float, min_words: int):
                 text, code = w.sets()
                 n = np.bincount(text, minlength=b.num_rows)
                 class_ = w.words_hash()
-                fresh = _fresh(class_, n >= min_words, seen)  # copies within a task are sent once
+                fresh = fresh_names(class_, n >= min_words, seen)  # copies within a task are sent once
                 keep = fresh[text]
                 share = weights.share(w.hash, RARE)
                 text, code = ordered(text[keep], code[keep], arrival_order(w.hash, share), w.hash)
                 sketch = odd_sketch(w.hash[code], text, b.num_rows, SKETCH_BITS)
                 name = class_ >> np.uint64(64 - CLASS_BITS)
-                # 40 bits of the key and 24 of the class; 16 of the class, the sketch and the size
-                second = ((name & np.uint64(0xFFFF)) << np.uint64(48)) | (sketch << np.uint64(SIZE_BITS)) | size_code(n)
-                owner, keys, _ = prefix_keys(text, code, w.hash, share, weights.texts, least, min_words, DEEP, FEW)
-                first = (keys & ~np.uint64((1 << 24) - 1)) | (name >> np.uint64(16))[owner]
-                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(second[owner].view(np.int64))], ["k", "v"])
+                rest = CLASS_BITS + BAND_BITS - 64  # bits of the class that stand in the second number
+                second = (name << np.uint64(64 - rest)) | (sketch << np.uint64(PLACE_BITS + SIZE_BITS)) | size_code(n)
+                owner, keys, place = prefix_keys(text, code, w.hash, share, weights.texts, least, min_words, DEEP, FEW)
+                first = (keys >> np.uint64(64 - BAND_BITS) << np.uint64(64 - BAND_BITS)) | (name >> np.uint64(rest))[owner]
+                second = second[owner] | np.minimum(place, (1 << PLACE_BITS) - 1).astype(np.uint64) << np.uint64(SIZE_BITS)
+                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(second.view(np.int64))], ["k", "v"])
 
     return run
 
 
-def _fresh(names: np.ndarray, wanted: np.ndarray, seen: set[int]) -> np.ndarray:
+def fresh_names(names: np.ndarray, wanted: np.ndarray, seen: set[int]) -> np.ndarray:
     """The wanted rows whose name this task has not had before, as far as it remembers."""
     if len(seen) > 500_000:
         seen.clear()
@@ -142,20 +145,59 @@ def _fresh(names: np.ndarray, wanted: np.ndarray, seen: set[int]) -> np.ndarray:
     return out
 
 
+def _meet(k: np.ndarray, v: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of class names among sorted band rows that share a band and may be alike. At similarity t sets of sizes a and b differ in no more
+    than (a + b)(1 - t)/(1 + t) words; if their first common words stand at places i and j, no more than min(a - i, b - j) are common."""
+    band, rest = k >> (64 - BAND_BITS), CLASS_BITS + BAND_BITS - 64
+    name = (k & ((1 << (64 - BAND_BITS)) - 1)).view(np.uint64) << np.uint64(rest) | v >> np.uint64(64 - rest)
+    coded = v & np.uint64((1 << SIZE_BITS) - 1)
+    size, floor = most_words(coded), least_words(coded)
+    left = size - ((v >> np.uint64(SIZE_BITS)) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.float64)
+    sketch = (v << np.uint64(rest)) >> np.uint64(rest + PLACE_BITS + SIZE_BITS)
+    n = np.searchsorted(band, band, "right") - np.arange(len(k)) - 1  # each row meets those behind it
+    stop = np.r_[0, np.cumsum(n)]
+    cuts = np.unique(np.r_[np.searchsorted(stop, np.arange(0, stop[-1], PAIRS)), len(k)])
+    for s, e in zip(cuts, cuts[1:], strict=False):
+        x = np.repeat(np.arange(s, e), n[s:e])
+        y = x + 1 + np.arange(len(x)) - np.repeat(stop[s:e] - stop[s], n[s:e])
+        ok = np.minimum(left[x], left[y]) * (1 + least) >= (floor[x] + floor[y]) * least - 1e-6
+        x, y = x[ok], y[ok]
+        ok = np.bitwise_count(sketch[x] ^ sketch[y]) <= (size[x] + size[y]) * ((1 - least) / (1 + least)) + 1e-6
+        a, b = name[x[ok]], name[y[ok]]
+        other = a != b
+        yield np.minimum(a, b)[other], np.maximum(a, b)[other]
+
+
+def _candidates(least: float):
+    """Band rows of whole bands, sorted, -> a, b."""
+
+    def told(k: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a, b in _meet(k, v, least):
+            pairs = np.unique(np.stack([a, b]), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[0])), pa.array(np.ascontiguousarray(pairs[1]))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, v = np.empty(0, np.int64), np.empty(0, np.uint64)
+        for batch in batches:
+            k, v = np.r_[k, batch["k"].to_numpy()], np.r_[v, batch["v"].to_numpy().view(np.uint64)]
+            if not len(k):
+                continue
+            # the last band may go on in the next batch
+            done = np.searchsorted(k, k[-1] >> (64 - BAND_BITS) << (64 - BAND_BITS), "left")
+            yield from told(k[:done], v[:done])
+            k, v = k[done:], v[done:]
+        yield from told(k, v)
+
+    return run
+
+
 def candidate_classes(texts: DataFrame, least: float, min_words: int) -> DataFrame:
-    """a, b: pairs of class names of CLASS_BITS (a < b) that share a band and pass the sketch."""
+    """a, b: pairs of class names of CLASS_BITS (a < b) that share a band and may be alike."""
     spark = texts.sparkSession
     common = spark.sparkContext.broadcast(CommonWords.of(texts, rare=RARE, shared=True))
-    # copies from different tasks meet in the shuffle by key and are dropped there, without another one
     packed = texts.mapInArrow(_keyed(common, least, min_words), "k long, v long")
-    left = packed.select(F.shiftrightunsigned("k", 24).alias("key"), F.col("k").bitwiseAND((1 << 24) - 1).alias("part"), "v").repartition("key").dropDuplicates()
-    right = left.select(F.col("key"), F.col("part").alias("part2"), F.col("v").alias("v2"))
-    name = lambda part, v: F.shiftleft(part, 16).bitwiseOR(F.shiftrightunsigned(v, 48))
-    sketch = lambda v: F.shiftrightunsigned(v, SIZE_BITS).bitwiseAND((1 << SKETCH_BITS) - 1)
-    size = lambda v: most_words(v.bitwiseAND((1 << SIZE_BITS) - 1))
-    a, b = name(F.col("part"), F.col("v")), name(F.col("part2"), F.col("v2"))
-    fits = may_be_alike(sketch(F.col("v")), sketch(F.col("v2")), size(F.col("v")), size(F.col("v2")), least)
-    return left.hint("merge").join(right, "key").where((a < b) & fits).select(a.alias("a"), b.alias("b")).distinct()
+    bands = packed.repartition(F.shiftrightunsigned("k", 64 - BAND_BITS)).sortWithinPartitions("k")
+    return bands.mapInArrow(_candidates(least), "a long, b long").distinct()
 
 
 def _facts(min_words: int, kind: str):
@@ -173,7 +215,7 @@ def _facts(min_words: int, kind: str):
                 if kind == "members":
                     yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), pa.array(class_[keep].view(np.int64)), pa.array(w.letters_hash()[keep].view(np.int64))], ["id", "class", "letters"])
                     continue
-                keep = _fresh(class_, keep, seen)
+                keep = fresh_names(class_, keep, seen)
                 yield pa.RecordBatch.from_arrays([pa.array(class_[keep].view(np.int64)), packed_words(w.hash[code][keep[text]], n[keep])], ["class", "words"])
 
     return run
@@ -223,7 +265,7 @@ def alike_classes(df: DataFrame, id_: str, text: str, least: float = 0.8, min_wo
     texts = rows_in.select("text")
     name = F.shiftrightunsigned("class", 64 - CLASS_BITS)
     pairs = candidate_classes(texts, least, min_words)
-    known = texts.mapInArrow(_facts(min_words, "words"), "class long, words binary").withColumn("name", name).repartition("name").dropDuplicates()
+    known = texts.mapInArrow(_facts(min_words, "words"), "class long, words binary").withColumn("name", name).repartition("name").dropDuplicates().where("name IS NOT NULL AND class IS NOT NULL")
     one = known.select(F.col("name").alias("a"), F.col("class").alias("class_a"), F.col("words").alias("words_a"))
     two = known.select(F.col("name").alias("b"), F.col("class").alias("class_b"), F.col("words").alias("words_b"))
     # classes that share a name are no candidates of each other yet
