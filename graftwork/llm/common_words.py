@@ -74,6 +74,17 @@ class CommonWords:
         c, m = kind == 0, kind == 1
         return cls(word[c].view(np.uint64), n[c], n_texts, *((word[m], n[m]) if shared else ()))
 
+    def save(self, spark, path: str) -> None:
+        """Keeps the counts (not the marks of shared words)."""
+        rows = pa.table({"word": np.r_[self.hash.view(np.int64), 0], "n": np.r_[self.count, self.texts], "kind": np.r_[np.zeros(len(self.hash), np.int32), np.int32(1)]})
+        spark.createDataFrame(rows).write.parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> CommonWords:
+        t = spark.read.schema("word long, n long, kind int").parquet(path).toArrow()
+        word, n, kind = (t[c].to_numpy() for c in ("word", "n", "kind"))
+        return cls(word[kind == 0].view(np.uint64), n[kind == 0], int(n[kind == 1][0]))
+
     def is_shared(self, hash_: np.ndarray) -> np.ndarray:
         """Whether another text may hold the word."""
         if self.block is None:

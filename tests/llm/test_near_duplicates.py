@@ -3,11 +3,9 @@ import random
 import numpy as np
 import pytest
 import regex
-from pyspark.sql import functions as F
 
-from graftwork.llm.common_words import CommonWords
-from graftwork.llm.near_duplicates import BagMinHash, near_duplicates
-from graftwork.llm.segment_index import SegmentIndex, repeats_of_history, segment_ends
+from graftwork.llm.near_duplicates import BagMinHash, candidate_classes, least_words, most_words, near_duplicates, size_code
+from graftwork.llm.segment_index import SegmentIndex, repeats_of_history
 from graftwork.llm.words import Words, hashes, odd_sketch
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -100,11 +98,6 @@ def test_words_of_a_batch():
     assert w.words_hash()[3] != Words(pa.array(["xy"])).words_hash()[0]
 
 
-def test_segment_ends_depend_on_their_words_alone():
-    mass = np.array([5, 0, 7, 3, 9, 1, 1])
-    assert segment_ends(mass, np.array([0, 4, 7]), 10).tolist() == [3, 4, 4, -1, 6, -1, -1]
-
-
 def history(spark):
     old = corpus(2, 120)
     rng = random.Random(3)
@@ -132,17 +125,34 @@ def test_history_against_brute_force(spark):
 
 def test_index_grows_by_batches(spark, tmp_path):
     old, new = history(spark)
-    h = spark.createDataFrame([(f"n{i}", t) for i, t in enumerate(old)], "old_id string, text string")
-    index = SegmentIndex(spark, str(tmp_path / "index"), CommonWords.of(h.select("text")), 0.7)
-    index.append(h.where("hash(old_id) % 2 = 0"))
-    index.append(h.where("hash(old_id) % 2 <> 0"))
-    p = spark.createDataFrame([(i, t) for i, t in enumerate(new)], "new_id long, text string")
-    got = {tuple(r) for r in index.probe(p).collect()}
-    whole = repeats_of_history(p.withColumn("batch", F.lit(1)), h.withColumn("batch", F.lit(0)), 0.7)
-    assert got == {tuple(r) for r in whole.collect()}
+    h = spark.createDataFrame([(f"n{i}", t, 0) for i, t in enumerate(old)], "old_id string, text string, batch long")
+    p = spark.createDataFrame([(i, t, 1) for i, t in enumerate(new)], "new_id long, text string, batch long")
+    assert SegmentIndex(spark, str(tmp_path / "index"), 0.7).probe(p).count() == 0
+    for k in range(10):  # each in a session of its own; ten appends also merge runs
+        index = SegmentIndex(spark, str(tmp_path / "index"), 0.7, bucket_rows=500)
+        index.append(h.where(f"pmod(hash(old_id), 10) = {k}"))
+    assert len(index.segments.state["runs"]) < 8
+    index.segments.vacuum()
+    got = {tuple(r) for r in SegmentIndex(spark, str(tmp_path / "index"), 0.7).probe(p).collect()}
+    want = {tuple(r) for r in repeats_of_history(p, h, 0.7).collect()}
+    assert got == want and len(want) > 100
     assert index.probe(p.where("false")).count() == 0
 
 
+def test_a_probe_reads_no_more_of_a_longer_history(spark, tmp_path):
+    rng = random.Random(8)
+    pool = [f"ordinary{i}" for i in range(2_000)]
+    texts = [" ".join(rng.sample(pool, 12)) for _ in range(8_000)]
+    p = spark.createDataFrame([(1, texts[5], 1)], "new_id long, text string, batch long")
+    read = []
+    for n in (1_000, 8_000):
+        index = SegmentIndex(spark, str(tmp_path / str(n)), 0.7, bucket_rows=256)
+        index.append(spark.createDataFrame([(f"n{i}", t, 0) for i, t in enumerate(texts[:n])], "old_id string, text string, batch long"))
+        assert [tuple(r) for r in index.probe(p).collect()] == [(1, "n5")]
+        read.append(index.bytes_read.value)
+    assert 0 < read[1] < 1.5 * read[0]
+
+
 def hot_group(seed=5):
     """One text whose exact copies fill a third of the rows, with near-copies in ordinary words; and long texts of common words."""
     rng = random.Random(seed)
@@ -188,3 +198,27 @@ def test_every_repeat_of_a_skewed_history(spark):
     want = {(i, f"n{j}") for i, a in enumerate(new) for j, b in enumerate(old) if letters(a) == letters(b) or alike(a, b, 0.7)}
     assert len(want) > 2_000
     assert got == want
+
+
+def test_texts_that_share_no_word_or_one(spark):
+    """Bands come from words that several texts hold; a stop word at the end of the order makes none."""
+    rng = random.Random(4)
+    fresh = lambda i: " ".join(f"x{i}y{rng.randrange(10**9)}z{k}" for k in range(10))
+    texts = [fresh(i) for i in range(3_000)] + [fresh(i) + " the" for i in range(3_000, 6_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    assert candidate_classes(df.select("text"), 0.7, 8).count() == 0
+
+
+def test_words_in_another_order_are_never_lost(spark):
+    rng = random.Random(3)
+    base = [f"word{i}" for i in range(9)]
+    texts = sorted({" ".join(rng.sample(base, 9)) for _ in range(200)})
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    assert near_duplicates(df, "k", "text", 0.7).count() == len(texts) * (len(texts) - 1) // 2
+
+
+def test_sizes_are_rounded_up():
+    size = np.r_[np.arange(1, 3_000), 10**6, 10**9]
+    most = most_words(size_code(size))
+    assert (least_words(size_code(size)) <= size).all()
+    assert (most >= size).all() and (most[:63] == size[:63]).all() and (most[:2_000] <= 1.25 * size[:2_000] + 1).all()
