@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from graftwork.functions.ids import canonical_id
 from graftwork.functions.text import domain_value, trim_all
-from graftwork.operators.acyclic import STORED, closes_cycle, refused_edges
+from graftwork.operators.acyclic import closing
 from graftwork.operators.admit_nodes import once, sequence_number
 from graftwork.rules import DEFAULT, RuleSet
 from graftwork.scratch import Scratch
@@ -70,22 +70,21 @@ def admit_edges(proposals: DataFrame, nodes: DataFrame, edges: DataFrame, rules:
     clean = rows.where("early_reason IS NULL AND late_reason IS NULL")
     deciding = scratch.keep(clean.groupBy(*LINK).agg(F.min("seq").alias("seq")))
     stored = edges.where("relation = 'PrerequisiteFor'").select("from_id", "to_id")
-    refused = scratch.keep(refused_edges(stored, deciding.where("relation = 'PrerequisiteFor'").select("seq", "from_id", "to_id")))
-    fate = scratch.keep(deciding.join(refused.withColumn("refused", F.lit(True)), "seq", "left").select(*LINK, F.col("seq").alias("decided"), F.coalesce("refused", F.lit(False)).alias("refused")))
+    proposed = deciding.where("relation = 'PrerequisiteFor'").select("seq", "from_id", "to_id")
+    asked = rows.where("early_reason IS NULL AND late_reason IS NOT NULL AND relation = 'PrerequisiteFor'").select("seq", "from_id", "to_id")
+    closes = scratch.keep(closing(stored, proposed, asked)).withColumn("closing", F.lit(True))
+    fate = deciding.join(closes.withColumnRenamed("closing", "refused"), "seq", "left").select(*LINK, F.col("seq").alias("decided"), F.coalesce("refused", F.lit(False)).alias("refused"))
     told = rows.join(fate, LINK, "left")
     taken = (F.col("seq") > F.col("decided")) & ~F.col("refused")
     again = (F.col("seq") >= F.col("decided")) & F.col("refused")
-    told = scratch.keep(told.withColumn("stage", F.when(F.col("early_reason").isNotNull(), "early").when(taken, "taken").when(again, "cycle").when(F.col("seq") == F.col("decided"), "accepted").otherwise("late")))
-    graph = told.where("stage = 'accepted' AND relation = 'PrerequisiteFor'").select("seq", "from_id", "to_id").unionByName(stored.select(F.lit(STORED).cast("long").alias("seq"), "from_id", "to_id"))
-    asked = told.where("stage = 'late' AND relation = 'PrerequisiteFor'").select("seq", "from_id", "to_id")
-    closing = closes_cycle(graph, asked).withColumn("closing", F.lit(True))
+    told = told.withColumn("stage", F.when(F.col("early_reason").isNotNull(), "early").when(taken, "taken").when(again, "cycle").when(F.col("seq") == F.col("decided"), "accepted").otherwise("late"))
     reason = (
         F.when(F.col("stage") == "early", F.col("early_reason"))
         .when(F.col("stage") == "taken", rules.edge_in_store)
-        .when((F.col("stage") == "cycle") | F.col("closing"), rules.cycle)
+        .when((F.col("stage") == "cycle") | ((F.col("stage") == "late") & F.col("closing")), rules.cycle)
         .when(F.col("stage") == "late", F.col("late_reason"))
     )
-    out = told.join(closing, "seq", "left").withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
+    out = told.join(closes, "seq", "left").withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
     return out.drop("early_reason", "late_reason", "decided", "refused", "stage", "closing", "stored", "first_pos", "from_since", "to_since")
 
 

@@ -6,9 +6,9 @@
 2. every partition runs a weighted disjoint-set forest over its own links: a node points to the
    farthest ancestor that the partition knows, and the offset is the number of links between;
 3. only pointers of nodes that others point to ("boundary") move on. They are merged level by
-   level, eight partitions into one, as long as a merged partition stays under ``merge_rows``
-   links; what is left between the last partitions is resolved by doubling joins. A merge task
-   therefore holds about ``merge_rows`` links at most (ranges of a hash fill evenly), however large the table is;
+   level, eight partitions into one, down to as few partitions as hold ``merge_rows`` links each; what is left between
+   those is resolved by doubling joins. There are as many first partitions as links fill, too, so no task holds more than
+   about ``merge_rows`` links (children are unique, so a hash spreads them evenly), however large the table is;
 4. nodes whose pointers never end lie on a cycle or below one; their own links are looked at alone.
 
 ``hierarchy_paths`` materialises root-to-node paths by following stored pointers whose reach doubles
@@ -86,24 +86,25 @@ def _ends(pointers: DataFrame) -> DataFrame:
     A round that brings no further pointer to its end leaves only nodes on or below cycles; they
     come out with a null root."""
     scratch = Scratch(pointers.sparkSession, "ends")
-    state, before = pointers, -1
+    state, before, old = pointers, -1, None
     while True:
         other = state.select(F.col("node").alias("n2"), F.col("anc").alias("a2"), F.col("dist").alias("d2"))
         step = state.join(other, F.col("anc") == F.col("n2"), "left")
         step = scratch.keep(step.select("node", F.coalesce("a2", "anc").alias("anc"), (F.col("dist") + F.coalesce("d2", F.lit(0))).alias("dist"), F.col("n2").isNull().alias("ended")))
-        left = step.where("NOT ended").count()
+        scratch.drop(old)
+        left, old = step.where("NOT ended").count(), step
         if left in (0, before):
             return step.select("node", F.when(F.col("ended"), F.col("anc")).alias("root"), F.col("dist").alias("depth"))
         before, state = left, step.select("node", "anc", "dist")
 
 
-def _merged(boundary: DataFrame, merge_rows: int) -> DataFrame:
+def _merged(boundary: DataFrame, merge_rows: int, parts: int) -> DataFrame:
     """node, root (null: never ends), depth of the boundary pointers."""
     spark = boundary.sparkSession
     scratch = Scratch(spark, "merge")
     level = scratch.keep(boundary)
     n = level.count()
-    parts, least = int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, -(-n // merge_rows))
+    least = max(1, -(-n // merge_rows))
     while parts > least:
         parts = max(least, parts // 8)
         # ranges of one hash: the partitions of a level are unions of those of the level below
@@ -173,9 +174,10 @@ def _resolve(df: DataFrame, parent: str, child: str, merge_rows: int) -> tuple[D
     """The links (node, anc), and node, root (null: on or below a cycle), depth of every child."""
     scratch = Scratch(df.sparkSession, "hierarchy")
     links = scratch.keep(parent_links(df, parent, child))
-    local = scratch.keep(links.repartition("node").mapInArrow(_local, POINTERS))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-links.count() // merge_rows))
+    local = scratch.keep(links.repartition(parts, "node").mapInArrow(_local, POINTERS))
     ancs = local.select(F.col("anc").alias("node")).distinct()
-    ends = scratch.keep(_merged(local.join(ancs, "node", "left_semi"), merge_rows))
+    ends = scratch.keep(_merged(local.join(ancs, "node", "left_semi"), merge_rows, parts))
     found = local.join(ends.select(F.col("node").alias("n2"), "root", "depth"), F.col("anc") == F.col("n2"), "left")
     # anc without an end of its own is a root; anc with a null root leads to a cycle
     found = found.select("node", F.when(F.col("n2").isNull(), F.col("anc")).otherwise(F.col("root")).alias("root"), (F.col("dist") + F.coalesce("depth", F.lit(0))).cast("int").alias("depth"))

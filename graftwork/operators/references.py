@@ -3,11 +3,11 @@
 ``orphan_references`` lists the references whose record is missing, was already retired or comes
 only later; ``orphan_report`` counts them by table and period.
 
-Keys are spread over ranges of their hash. A range's parents become one sorted array, its references follow in the same
-stream and are probed by binary search, batch by batch: a task holds one range's parents (about ``RANGE_KEYS``
-rows at every size of the table) and one batch. References are counted by range first; a range with more than
-its share (a key that a third of all rows name) is split over as many slices as it fills shares, and its parents go to
-each slice. There are never more such ranges than twice the partitions.
+The parents are stored once, range-partitioned by a mixed key and sorted within (``Runs``): a range is an array of about
+``RANGE_KEYS`` rows at every size of the table. The references are read once, packed into vectors by range, and each vector is
+probed by binary search in its range's array, whose row groups the task reads from storage. Any task can read any range, so vectors
+are handed out by size, not by key: those of a key that a third of all rows name are spread over as many tasks as they fill
+(adaptive rebalancing splits them; nothing is counted first).
 
 Defined results: null reference: no case. A value that is no UUID: a case. Null time: a case (nothing
 is known to exist then). Null accepted_at: the record never exists. Repeated rows (same table,
@@ -24,68 +24,76 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graftwork.functions.ids import hex_digits
+from graftwork.runs import Bucket, Runs
+from graftwork.scratch import Scratch
 
-RANGE_KEYS = 1 << 15
+RANGE_KEYS = 1 << 17
 NEVER = np.iinfo(np.int64).max
-
-
-class Parents:
-    """The parents of one range: keys as two numbers, sorted, with the time in force."""
-
-    def __init__(self, key: np.ndarray, start: np.ndarray, end: np.ndarray):
-        order = np.lexsort((key[:, 1], key[:, 0]))
-        self.high, self.low, self.start, self.end = key[order, 0], key[order, 1], start[order], end[order]
-
-    def in_force(self, key: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Whether a parent of each key is in force at each time."""
-        found = np.zeros(len(key), bool)
-        left, right = np.searchsorted(self.high, key[:, 0], "left"), np.searchsorted(self.high, key[:, 0], "right")
-        open_ = np.flatnonzero(left < right)
-        while len(open_):
-            k = left[open_]
-            found[open_] |= (self.low[k] == key[open_, 1]) & (self.start[k] <= at[open_]) & (self.end[k] > at[open_])
-            left[open_] += 1
-            open_ = open_[(left[open_] < right[open_]) & ~found[open_]]
-        return found
-
-
-_NONE = Parents(np.empty((0, 2), np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
-
-
-def _key(a: pa.Array) -> np.ndarray:
-    """16-byte values as pairs of numbers whose order is that of the bytes."""
-    return np.frombuffer(b"".join(a.to_pylist()), ">u8").astype(np.uint64).reshape(-1, 2)
-
-
-def _misses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by range and slice, parents (slot null) before references."""
-    at, held, parents = None, [], _NONE
-    for b in batches:
-        if not b.num_rows:
-            continue
-        rng, part, slot = b["rng"].to_numpy(), b["part"].to_numpy(), b["slot"].fill_null(-1).to_numpy()
-        key, one, two = _key(b["key"]), b["a"].to_numpy(), b["b"].to_numpy()
-        turn = np.flatnonzero(np.r_[True, (rng[1:] != rng[:-1]) | (part[1:] != part[:-1]) | ((slot[1:] < 0) != (slot[:-1] < 0))])
-        rows, fields = [], []
-        for s, e in zip(turn, np.r_[turn[1:], len(rng)], strict=True):
-            if at != (rng[s], part[s]):
-                at, held, parents = (rng[s], part[s]), [], _NONE
-            if slot[s] < 0:
-                held.append((key[s:e], one[s:e], two[s:e]))
-                continue
-            if held:
-                parents, held = Parents(*(np.concatenate(x) for x in zip(*held, strict=True))), []
-            bad = ~parents.in_force(key[s:e], one[s:e])
-            rows.append(two[s:e][bad])
-            fields.append(slot[s:e][bad])
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(fields).astype(np.int32))], ["row_id", "slot"])
+#: References of one packed vector, at most.
+VECTOR = 1 << 16
+REFERENCE = np.dtype([("key", "<i8"), ("high", "<i8"), ("low", "<i8"), ("at", "<i8"), ("row_id", "<i8")])
+PARENT = "key long, high long, low long, since long, until long"
 
 
 def _micros(c: Column, missing: int) -> Column:
     return F.coalesce(F.unix_micros(c.cast("timestamp")), F.lit(missing))
 
 
+def _halves(hex_: Column) -> list[Column]:
+    """A key in mixed order, and the two halves of the id."""
+    return [F.xxhash64(hex_).alias("key"), *(F.conv(F.substring(hex_, at, 16), 16, -10).cast("long").alias(name) for at, name in ((1, "high"), (17, "low")))]
+
+
+def _packed(bits: int):
+    """src_table, ref_field, key, high, low, at, row_id -> the same by bucket (-1: no key), packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kinds = [b[c].dictionary_encode() for c in ("src_table", "ref_field")]
+            kind = kinds[0].indices.to_numpy().astype(np.int64) * max(1, len(kinds[1].dictionary)) + kinds[1].indices.to_numpy()
+            rows = np.zeros(b.num_rows, REFERENCE)
+            for c in REFERENCE.names:
+                rows[c] = b[c].fill_null(0).to_numpy(zero_copy_only=False)
+            bucket = (rows["key"].view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(rows), np.int64)
+            bucket[b["key"].is_null().to_numpy(zero_copy_only=False)] = -1
+            order = np.lexsort((rows["key"], bucket, kind))
+            rows, bucket, kind = rows[order], bucket[order], kind[order]
+            first = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1])]) if len(rows) else np.empty(0, np.int64)
+            cuts = [range(s, e, VECTOR) for s, e in zip(first, np.r_[first[1:], len(rows)], strict=False)]
+            start = np.array([x for c in cuts for x in c], np.int64)
+            vectors = [rows[s : min(s + VECTOR, c.stop)].tobytes() for c in cuts for s in c]
+            one, two = (k.dictionary.take(pa.array(x)) for k, x in zip(kinds, np.divmod(kind[start], max(1, len(kinds[1].dictionary))), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[start].astype(np.int32)), one, two, pa.array(vectors, pa.binary())], ["bucket", "src_table", "ref_field", "vector"])
+
+    return run
+
+
+def _probed(places: list[tuple[str, int]], bits: int, all_rows: bool):
+    """Vectors by bucket -> src_table, row_id, ref_field, at, orphan of the orphans (or of all references)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, bucket = None, None
+        for b in batches:
+            for number, table, field, vector in zip(*(b[c].to_pylist() for c in ("bucket", "src_table", "ref_field", "vector")), strict=True):
+                refs = np.frombuffer(vector, REFERENCE)
+                found = np.zeros(len(refs), bool)
+                if number >= 0:
+                    if number != at:
+                        if bucket is not None:
+                            bucket.close()
+                        at, bucket = number, Bucket(places, number, bits)
+                    for rows, mine, theirs in bucket.lookup(refs["key"]):
+                        high, low, since, until = (rows[c].to_numpy()[theirs] for c in ("high", "low", "since", "until"))
+                        own = refs[mine]
+                        found[mine[(high == own["high"]) & (low == own["low"]) & (since <= own["at"]) & (until > own["at"])]] = True
+                shown = refs if all_rows else refs[~found]
+                orphan = ~found if all_rows else np.ones(len(shown), bool)
+                columns = [pa.array([table] * len(shown), pa.string()), pa.array(np.ascontiguousarray(shown["row_id"])), pa.array([field] * len(shown), pa.string()), pa.array(np.ascontiguousarray(shown["at"])), pa.array(orphan)]
+                yield pa.RecordBatch.from_arrays(columns, ["src_table", "row_id", "ref_field", "at", "orphan"])
+
+    return run
+
+
 def reference_rows(df: DataFrame, table: str, row_id: str, time: str, fields: list[str]) -> DataFrame:
     """One row for each non-null reference: src_table, row_id, ref_field, ref, at."""
     refs = F.explode(F.array(*(F.struct(F.lit(f).alias("ref_field"), F.col(f).alias("ref")) for f in fields)))
@@ -93,38 +101,26 @@ def reference_rows(df: DataFrame, table: str, row_id: str, time: str, fields: li
     return rows.select(F.lit(table).alias("src_table"), "row_id", "r.ref_field", "r.ref", "at").where("ref IS NOT NULL")
 
 
+def _judged(refs: DataFrame, parents: DataFrame, key: str, start: str, end: str, range_keys: int, all_rows: bool) -> DataFrame:
+    spark = refs.sparkSession
+    known = parents.select(hex_digits(F.col(key)).alias("hex"), _micros(F.col(start), NEVER).alias("since"), _micros(F.col(end), NEVER).alias("until")).where("hex IS NOT NULL")
+    stored = Runs(spark, Scratch(spark, "parents").path(), PARENT, range_keys)
+    stored.append(known.select(*_halves(F.col("hex")), "since", "until"), parents.count())
+    asked = refs.select("src_table", "ref_field", hex_digits(F.col("ref")).alias("hex"), _micros(F.col("at"), -NEVER).alias("at"), F.col("row_id").cast("long").alias("row_id"))
+    key_, high, low = _halves(F.col("hex"))
+    asked = asked.select("src_table", "ref_field", F.when(F.col("hex").isNotNull(), key_).alias("key"), high, low, "at", "row_id")
+    vectors = asked.mapInArrow(_packed(stored.bits), "bucket int, src_table string, ref_field string, vector binary")
+    spread = vectors.hint("rebalance", "bucket").sortWithinPartitions("bucket")
+    return spread.mapInArrow(_probed(stored.places(), stored.bits, all_rows), "src_table string, row_id long, ref_field string, at long, orphan boolean")
+
+
 def orphan_references(refs: DataFrame, parents: DataFrame, key: str = "id", start: str = "accepted_at", end: str = "retired_at", range_keys: int = RANGE_KEYS) -> DataFrame:
     """src_table, row_id, ref_field of every reference of ``reference_rows`` without a parent at its time."""
-    spark = refs.sparkSession
-    slots = [tuple(r) for r in refs.select("src_table", "ref_field").distinct().collect()]  # as many as the schemas have reference columns
-    if not slots:
-        return refs.select("src_table", "row_id", "ref_field")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(8 * parts, parents.count() // range_keys)
-    rng = F.pmod(F.xxhash64("hex"), F.lit(ranges)).cast("int")
-    slot = F.coalesce(*(F.when((F.col("src_table") == t) & (F.col("ref_field") == f), F.lit(i)) for i, (t, f) in enumerate(slots)))
-    keyed = refs.select(hex_digits(F.col("ref")).alias("hex"), _micros(F.col("at"), -NEVER).alias("a"), F.col("row_id").cast("long").alias("b"), slot.alias("slot"))
-    good = keyed.where("hex IS NOT NULL").select(rng.alias("rng"), F.unhex("hex").alias("key"), "a", "b", "slot")
-    known = parents.select(hex_digits(F.col(key)).alias("hex"), _micros(F.col(start), NEVER).alias("a"), _micros(F.col(end), NEVER).alias("b")).where("hex IS NOT NULL").distinct()
-    known = known.select(rng.alias("rng"), F.unhex("hex").alias("key"), "a", "b", F.lit(None).cast("int").alias("slot"))
-    counts = good.groupBy("rng").agg(F.count("*").alias("n"))
-    share = max(1, (counts.agg(F.sum("n")).first()[0] or 0) // (2 * parts))
-    hot = {r.rng: -(-r.n // share) for r in counts.where(F.col("n") > share).collect()}  # at most 2 * parts of them
-    split = F.broadcast(spark.createDataFrame(list(hot.items()), "rng int, slices long"))
-    slices = F.coalesce("slices", F.lit(1))
-    sent = good.join(split, "rng", "left").withColumn("part", F.pmod(F.xxhash64("b", "slot"), slices).cast("int")).drop("slices")
-    held = known.join(split, "rng", "left").withColumn("part", F.explode(F.sequence(F.lit(0), (slices - 1).cast("int")))).drop("slices")
-    stream = sent.unionByName(held).repartition(parts, "rng", "part").sortWithinPartitions("rng", "part", F.col("slot").isNotNull())
-    misses = stream.select("rng", "part", "slot", "key", "a", "b").mapInArrow(_misses, "row_id long, slot int")
-    nonsense = keyed.where("hex IS NULL").select(F.col("b").alias("row_id"), "slot")
-    cases = misses.unionByName(nonsense).distinct()
-    names = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(f).alias("f")) for t, f in slots))
-    named = cases.select("row_id", F.element_at(names, F.col("slot") + 1).alias("s"))
-    return named.select(F.col("s.t").alias("src_table"), "row_id", F.col("s.f").alias("ref_field"))
-
-
-def orphan_report(cases: DataFrame, refs: DataFrame) -> DataFrame:
+    return _judged(refs, parents, key, start, end, range_keys, False).select("src_table", "row_id", "ref_field").distinct()
+
+
+def orphan_report(refs: DataFrame, parents: DataFrame, key: str = "id", start: str = "accepted_at", end: str = "retired_at", range_keys: int = RANGE_KEYS) -> DataFrame:
     """src_table, month, n_references, n_orphans: counts by table and month of the reference's time; a repeated row counts once."""
-    marked = cases.withColumn("orphan", F.lit(1))
-    rows = refs.select("src_table", "row_id", "ref_field", F.date_format("at", "yyyy-MM").alias("month")).distinct()
-    return rows.join(marked, ["src_table", "row_id", "ref_field"], "left").groupBy("src_table", "month").agg(F.count("*").alias("n_references"), F.count("orphan").alias("n_orphans"))
+    month = F.when(F.col("at") != -NEVER, F.date_format(F.timestamp_micros("at"), "yyyy-MM")).alias("month")
+    rows = _judged(refs, parents, key, start, end, range_keys, True).groupBy("src_table", "row_id", "ref_field", month).agg(F.max("orphan").alias("orphan"))
+    return rows.groupBy("src_table", "month").agg(F.count("*").alias("n_references"), F.count_if("orphan").alias("n_orphans"))

@@ -45,7 +45,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    return orphan_report(p5_found(spark, d), _references(spark, d))
+    return orphan_report(_references(spark, d), table(spark, d, "nodes"))
 
 
 QUERIES = {q.__name__: q for q in (p1_found, p1_paths, p1_closure, p1_cycles, p5_found, p5_report)}

@@ -15,8 +15,9 @@ from graftwork.operators.admit_edges import accepted_edges, admit_edges, edge_de
 from graftwork.operators.admit_nodes import accepted_nodes, admit_nodes, checked_nodes, decisions, sequence_number
 from graftwork.plans import views
 from graftwork.plans.graph_sql import SQL as SQL
-from graftwork.plans.tables import table
+from graftwork.plans.tables import relation_letters, table
 from graftwork.rules import DEFAULT as R
+from graftwork.scratch import Scratch
 from graftwork.sources import generators, payloads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,12 +113,64 @@ def event_lines(spark: SparkSession, d: str) -> DataFrame:
     return views.event_lines(events_nodes(spark, d), events_edges(spark, d))
 
 
+def _witnesses(admitted: DataFrame, stored: DataFrame) -> DataFrame:
+    """seq and a shortest path that each refused prerequisite edge would have closed, its number of edges, and whether all of those were accepted before."""
+    before = _prereq(stored).select(F.lit(acyclic.STORED).cast("long").alias("seq"), "from_id", "to_id")
+    kept = Scratch(admitted.sparkSession, "witnesses").keep(admitted.select("seq", "from_id", "to_id", "relation", "accepted", "reason"))
+    graph = kept.where("accepted AND relation = 'PrerequisiteFor'").select("seq", "from_id", "to_id").unionByName(before)
+    refused = kept.where(F.col("reason") == R.cycle).select("seq", "from_id", "to_id")
+    found = acyclic.cycle_witness(graph, refused)
+    steps = found.select("seq", F.posexplode(F.expr("transform(sequence(1, size(witness) - 1), i -> struct(witness[i - 1] AS from_id, witness[i] AS to_id))")).alias("i", "step"))
+    first = graph.groupBy("from_id", "to_id").agg(F.min("seq").alias("added"))
+    good = steps.select("seq", "step.*").join(first, ["from_id", "to_id"]).where("added < seq").groupBy("seq").agg(F.count("*").alias("n_good"))
+    ends = refused.select("seq", F.col("from_id").alias("tail"), F.col("to_id").alias("head"))
+    told = found.join(ends, "seq").join(good, "seq", "left")
+    right = (F.col("n_good") == F.size("witness") - 1) & (F.element_at("witness", 1) == F.col("head")) & (F.element_at("witness", -1) == F.col("tail"))
+    return told.select("seq", "witness", (F.size("witness") - 1).cast("long").alias("n_edges"), F.coalesce(right, F.lit(False)).alias("is_path"))
+
+
 def cycle_witness(spark: SparkSession, d: str) -> DataFrame:
-    """seq and a shortest path that each refused prerequisite edge would have closed."""
-    admitted = _admitted_edges(spark, d)
-    stored = table(spark, d, "edges").where("relation = 'PrerequisiteFor'").select(F.lit(acyclic.STORED).cast("long").alias("seq"), "from_id", "to_id")
-    graph = admitted.where("accepted AND relation = 'PrerequisiteFor'").select("seq", "from_id", "to_id").unionByName(stored)
-    return acyclic.cycle_witness(graph, admitted.where(F.col("reason") == R.cycle).select("seq", "from_id", "to_id"))
+    return _witnesses(_admitted_edges(spark, d), table(spark, d, "edges")).select("seq", "n_edges", "is_path")
+
+
+#: Nodes onto which ``folded`` lays all ids; every sixth is a learning outcome.
+FOLDS, OUTCOME_EVERY = 24, 6
+
+
+def _folded_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All edge proposals with their ids laid onto few nodes (all of level 0), those nodes, and no edges: a dense graph in which cycles are common."""
+    fold = lambda c: F.concat(F.lit("n"), F.pmod(F.conv(F.substring(F.md5(F.encode(canonical_id(F.col(c)), "UTF-8")), 1, 4), 16, 10).cast("long"), F.lit(FOLDS)).cast("string"))
+    proposals = table(spark, d, "edge_proposals").withColumns({c: fold(c) for c in ("from_id", "to_id")})
+    kind = F.when(F.pmod(F.col("k"), F.lit(OUTCOME_EVERY)) == OUTCOME_EVERY - 1, "LearningOutcome").otherwise("Concept")
+    nodes = spark.range(FOLDS).withColumnRenamed("id", "k").select(F.concat(F.lit("n"), F.col("k").cast("string")).alias("id"), kind.alias("kind"), F.lit(0).alias("level"), F.lit(-1).cast("long").alias("batch_id"))
+    return proposals, nodes, table(spark, d, "edges").where("false")
+
+
+def _admitted_folded(spark: SparkSession, d: str) -> DataFrame:
+    return admit_edges(*_folded_tables(spark, d))
+
+
+def edge_admission_folded(spark: SparkSession, d: str) -> DataFrame:
+    return edge_decisions(_admitted_folded(spark, d)).drop("assigned_id")
+
+
+def cycle_witness_folded(spark: SparkSession, d: str) -> DataFrame:
+    return _witnesses(_admitted_folded(spark, d), table(spark, d, "edges").where("false")).select("seq", "n_edges", "is_path")
+
+
+def prereq_dag_folded(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the folded prerequisite links are acyclic: as proposed (they are not), and as admitted."""
+    proposed = _folded_tables(spark, d)[0].where(relation_letters(F.col("relation")) == "prerequisitefor")
+    admitted = _prereq(accepted_edges(_admitted_folded(spark, d)))
+    return acyclic.is_acyclic(proposed).select(F.lit("proposed").alias("links"), "prereq_dag_ok").unionByName(acyclic.is_acyclic(admitted).select(F.lit("admitted").alias("links"), "prereq_dag_ok"))
+
+
+def reachable_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """For the two ends of every two edges that follow each other, and of every edge backwards: whether prerequisites lead from the one to the other."""
+    edges = table(spark, d, "edges")
+    second = edges.select(F.col("from_id").alias("to_id"), F.col("to_id").alias("far"))
+    pairs = edges.select("from_id", "to_id").join(second, "to_id").select("from_id", F.col("far").alias("to_id")).union(edges.select("to_id", "from_id"))
+    return acyclic.reaches(_prereq(edges), pairs)
 
 
 def _graph(view: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
@@ -205,6 +258,12 @@ QUERIES: dict[str, Query] = {
     "events_edges": events_edges,
     "event_lines": event_lines,
     "cycle_witness": cycle_witness,
+    "edge_admission_folded": edge_admission_folded,
+    "edge_cycle_folded": _refused(_admitted_folded, R.cycle),
+    "edge_kind_folded": _refused(_admitted_folded, R.bad_source),
+    "cycle_witness_folded": cycle_witness_folded,
+    "prereq_dag_folded": prereq_dag_folded,
+    "reachable_pairs": reachable_pairs,
     "inventory": _graph(lambda n, e: views.inventory(n)),
     "inventory_json": _graph(lambda n, e: views.inventory_json(n)),
     "summary_nodes": _graph(lambda n, e: views.node_counts(n)),

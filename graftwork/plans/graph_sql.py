@@ -92,6 +92,22 @@ edge_judged AS (SELECT s.*, CASE stage WHEN 'early' THEN early_reason WHEN 'take
 edge_events AS (SELECT seq AS event_seq, CASE WHEN accepted THEN 'EdgeAccepted' ELSE 'EdgeRejected' END AS event_type, relation, CASE WHEN accepted THEN from_id END AS from_id,
   CASE WHEN accepted THEN to_id END AS to_id, CASE WHEN accepted THEN rationale END AS rationale, reason FROM edge_judged)"""
 
+#: The shortest path that each refused row would have closed, as a number of edges.
+_WITNESS = f"""trails AS (SELECT seq, to_id AS at_, from_id AS goal, CAST(0 AS BIGINT) AS n FROM edge_judged WHERE reason = {_q(R.cycle)}
+  UNION SELECT w.seq, k.to_id, w.goal, w.n + 1 FROM trails w JOIN kept k ON k.from_id = w.at_ AND k.seq < w.seq WHERE w.n < {{longest}} AND w.at_ <> w.goal)"""
+_WITNESSED = "SELECT seq, min(n) AS n_edges, true AS is_path FROM trails WHERE at_ = goal GROUP BY seq"
+_FOLDS, _OUTCOME_EVERY = 24, 6
+
+
+def _folded(c: str) -> str:
+    return f"'n' || (CAST('0x' || substr(md5({_canon(c)}), 1, 4) AS BIGINT) % {_FOLDS})"
+
+
+_FOLDED = f"""folded_proposals AS (SELECT * REPLACE ({_folded("from_id")} AS from_id, {_folded("to_id")} AS to_id) FROM edge_proposals),
+folded_nodes AS (SELECT 'n' || k AS id, CASE WHEN k % {_OUTCOME_EVERY} = {_OUTCOME_EVERY - 1} THEN 'LearningOutcome' ELSE 'Concept' END AS kind, 0 AS level, -1 AS batch_id FROM range({_FOLDS}) t(k)),
+folded_edges AS (SELECT * FROM edges WHERE false)"""
+_FOLDED_EDGES = f"{_FOLDED}, " + _EDGES.replace("FROM edge_proposals)", "FROM folded_proposals)").replace("JOIN nodes ", "JOIN folded_nodes ").replace("FROM edges ", "FROM folded_edges ")
+
 _SHORT_TEXT = _short("text")
 _LINES = f"""SELECT event_seq, CASE WHEN event_type = 'NodeAccepted' THEN 'graph/events' ELSE 'graph/nodes_rejected' END AS entity, CASE WHEN event_type = 'NodeAccepted' THEN 'INFO' ELSE 'WARN' END AS level,
   CASE WHEN event_type = 'NodeAccepted' THEN 'ACCEPT node ' || kind || ' lvl ' || level || ' ' || id || ': ' || {_SHORT_TEXT} || CASE WHEN len(tags) > 0 THEN ' tags=[' || array_to_string(tags, ',') || ']' ELSE '' END
@@ -183,6 +199,17 @@ SQL: dict[str, str] = {
       JOIN nodes a ON a.id = p.from_id JOIN nodes b ON b.id = p.to_id""",
     "events_edges": f"WITH RECURSIVE {_EDGES} SELECT * FROM edge_events",
     "event_lines": f"WITH RECURSIVE {_NODES}, {_EDGES} {_LINES}",
+    "cycle_witness": f"WITH RECURSIVE {_EDGES}, {_WITNESS.format(longest=1000)} {_WITNESSED}",
+    "edge_admission_folded": f"WITH RECURSIVE {_FOLDED_EDGES} SELECT batch_id, pos, accepted, reason FROM edge_judged",
+    "edge_cycle_folded": _refused(_FOLDED_EDGES, "edge_judged", f"reason = {_q(R.cycle)}"),
+    "edge_kind_folded": _refused(_FOLDED_EDGES, "edge_judged", f"reason = {_q(R.bad_source)}"),
+    "cycle_witness_folded": f"WITH RECURSIVE {_FOLDED_EDGES}, {_WITNESS.format(longest=_FOLDS)} {_WITNESSED}",
+    "prereq_dag_folded": f"""WITH RECURSIVE {_FOLDED_EDGES}, asked AS (SELECT DISTINCT 'proposed' AS links, from_id, to_id FROM raw_edges WHERE relation = 'PrerequisiteFor'
+      UNION SELECT 'admitted', from_id, to_id FROM edge_judged WHERE accepted AND relation = 'PrerequisiteFor'),
+      ways AS (SELECT links, from_id, to_id FROM asked UNION SELECT w.links, w.from_id, a.to_id FROM ways w JOIN asked a ON a.links = w.links AND a.from_id = w.to_id)
+      SELECT links, NOT EXISTS (SELECT 1 FROM ways w WHERE w.links = l.links AND w.from_id = w.to_id) AS prereq_dag_ok FROM (VALUES ('proposed'), ('admitted')) l(links)""",
+    "reachable_pairs": f"""WITH RECURSIVE {_REACH}, pairs AS (SELECT a.from_id, b.to_id FROM edges a JOIN edges b ON b.from_id = a.to_id UNION SELECT to_id, from_id FROM edges)
+      SELECT p.from_id, p.to_id, r.from_id IS NOT NULL AS reaches FROM pairs p LEFT JOIN reach r ON r.from_id = p.from_id AND r.to_id = p.to_id""",
     "inventory": "SELECT seq, id, kind, level, text, tags FROM nodes",
     "inventory_json": "SELECT seq, CAST(to_json(struct_pack(id := id, kind := kind, level := level, text := text, tags := tags)) AS VARCHAR) AS item FROM nodes",
     "summary_nodes": "SELECT count(*) AS total_nodes, count(*) FILTER (WHERE kind = 'Concept') AS concepts, count(*) FILTER (WHERE kind = 'LearningOutcome') AS learning_outcomes FROM nodes",

@@ -80,13 +80,13 @@ def layout_order(nodes: DataFrame) -> DataFrame:
 
 
 def layout_nodes(nodes: DataFrame, rules: RuleSet = DEFAULT) -> DataFrame:
-    """id, level, ord, label of the display."""
-    return layout_order(nodes).join(nodes.select("id", shorten(F.col("text"), rules.label_length).alias("label")), "id")
+    """id, level, ord, label of the display, by level and order."""
+    return layout_order(nodes).join(nodes.select("id", shorten(F.col("text"), rules.label_length).alias("label")), "id").orderBy("level", "ord", "id")
 
 
 def layout_edges(edges: DataFrame, relation: str) -> DataFrame:
-    """Distinct pairs of one relation; (a, b) and (b, a) are two pairs."""
-    return edges.where(F.col("relation") == relation).select("from_id", "to_id").distinct()
+    """Distinct pairs of one relation, in order; (a, b) and (b, a) are two pairs."""
+    return edges.where(F.col("relation") == relation).select("from_id", "to_id").distinct().orderBy("from_id", "to_id")
 
 
 def node_events(admitted: DataFrame, sequence: Column) -> DataFrame:
@@ -145,8 +145,9 @@ def dot_edges(nodes: DataFrame, edges: DataFrame, label_first: int | None = None
     reason = escape_quotes(clean(F.coalesce("rationale", F.lit(""))))
     named = reason != ""
     if label_first is not None:
-        edge = rows.orderBy("seq").limit(label_first).agg(F.max("seq")).first()[0]
-        named = named & (F.col("seq") <= F.lit(edge))
+        first = rows.select("seq").orderBy("seq").limit(label_first).withColumn("first", F.lit(True))  # so many rows at most
+        rows = rows.join(F.broadcast(first), "seq", "left")
+        named = named & F.coalesce("first", F.lit(False))
     label = F.when(named, F.concat(dot_relation(F.col("relation")), F.lit(": "), reason)).otherwise(dot_relation(F.col("relation")))
     line = F.concat(F.lit('  "'), F.col("from_id"), F.lit('" -> "'), F.col("to_id"), F.lit('" [label="'), label, F.lit('"];'))
     return rows.select("seq", line.alias("line"))
@@ -161,8 +162,22 @@ def dot_lines(nodes: DataFrame, edges: DataFrame, name: str = "learning_graph")
 
 
 def write_dot(nodes: DataFrame, edges: DataFrame, path: str, name: str = "learning_graph") -> None:
-    """One text file in a folder; the sort is distributed, only the writing is in one piece."""
-    dot_lines(nodes, edges, name).orderBy("section", "seq", "line").select("line").coalesce(1).write.mode("overwrite").text(path)
+    """One text file in a folder. Parts are sorted and written by all tasks; their bytes are then strung together, in order, by a stream on the driver."""
+    spark = nodes.sparkSession
+    dot_lines(nodes, edges, name).orderBy("section", "seq", "line").select("line").write.mode("overwrite").text(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    parts = sorted(f.getPath().toString() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    whole = fs.create(jvm.org.apache.hadoop.fs.Path(f"{path}/.whole"), True)
+    for part in parts:
+        piece = fs.open(jvm.org.apache.hadoop.fs.Path(part))
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(piece, whole, conf, False)
+        piece.close()
+    whole.close()
+    for part in parts:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(part), False)
+    fs.rename(jvm.org.apache.hadoop.fs.Path(f"{path}/.whole"), jvm.org.apache.hadoop.fs.Path(f"{path}/part-00000.txt"))
 
 
 def report_lines(summary: DataFrame) -> DataFrame:
@@ -177,5 +192,11 @@ def report_lines(summary: DataFrame) -> DataFrame:
     return summary.select(F.posexplode(F.concat(fixed, title, best)).alias("line_no", "line"))
 
 
+def reason_counts(decided: DataFrame) -> DataFrame:
+    """rule, n: refused proposals by rule (the id that a reason names is left off)."""
+    rule = F.regexp_replace("reason", "^(unknown (?:from|to)_id) .*$", "$1")
+    return decided.where("NOT accepted").groupBy(rule.alias("rule")).agg(F.count("*").alias("n"))
+
+
 def decision_counts(decided: DataFrame) -> DataFrame:
     return decided.agg(F.count_if("accepted").alias("n_accepted"), F.count_if(~F.col("accepted")).alias("n_rejected"))

@@ -27,7 +27,7 @@ def base():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", [n for n in NAMES if not n.startswith(("edge_", "events_edges"))] + ["edge_admission", "edge_endpoints"])
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, base, name):
     df = __spark_entry__.queries()[name](spark, DATA)
     cur = base.execute(__spark_entry__.oracle_sql()[name])

@@ -6,7 +6,6 @@ from hypothesis import strategies as st
 from graftwork.operators import acyclic
 from graftwork.operators.components import unite
 from graftwork.operators.hierarchy import compress
-from graftwork.operators.references import Parents
 
 PAIRS = st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=40)
 
@@ -37,17 +36,47 @@ def test_unite_gives_the_smallest_of_each_component(pairs):
     assert got.tolist() == rep
 
 
+def leads(out, start, goal):
+    stack, seen = [start], {start}
+    while stack:
+        x = stack.pop()
+        if x == goal:
+            return True
+        for y in out.get(x, ()):
+            if y not in seen:
+                seen.add(y)
+                stack.append(y)
+    return False
+
+
 @settings(deadline=None)
-@given(PAIRS)
-def test_replay_keeps_the_graph_acyclic_and_refuses_no_more(pairs):
-    pairs = [(f"n{a}", f"n{b}") for a, b in dict.fromkeys(pairs) if a != b]
-    frame = pd.DataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], columns=["seq", "from_id", "to_id"])
-    refused = set(acyclic.replay(frame)["seq"])
+@given(PAIRS, st.lists(st.sampled_from([acyclic.THERE, acyclic.PROPOSED, acyclic.ASKED]), min_size=40, max_size=40))
+def test_replay_refuses_what_walks_refuse(pairs, kinds):
+    rows = [(acyclic.STORED if k == acyclic.THERE else i, f"n{a}", f"n{b}", k) for i, ((a, b), k) in enumerate(zip(pairs, kinds, strict=False))]
+    told = set(acyclic.replay(pd.DataFrame(rows, columns=["seq", "from_id", "to_id", "kind"]))["seq"])
     out: dict[str, list[str]] = {}
-    for i, (a, b) in enumerate(pairs):
-        assert (i in refused) == acyclic._leads(out, b, a)
-        if i not in refused:
+    for _, a, b, k in rows:
+        if k == acyclic.THERE:
             out.setdefault(a, []).append(b)
+    for seq, a, b, k in rows:
+        if k != acyclic.THERE:
+            assert (seq in told) == leads(out, b, a)
+            if k == acyclic.PROPOSED and seq not in told:
+                out.setdefault(a, []).append(b)
+
+
+@settings(deadline=None)
+@given(PAIRS)
+def test_strong_components_are_mutual_and_ordered(pairs):
+    tail, head = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+    part = acyclic.strong_components(tail, head, 10)
+    out: dict[int, list[int]] = {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+    for a in range(10):
+        for b in range(10):
+            assert (part[a] == part[b]) == (leads(out, a, b) and leads(out, b, a))
+    assert all(part[a] >= part[b] for a, b in pairs)
 
 
 @settings(deadline=None)
@@ -59,13 +88,3 @@ def test_ranks_rise_along_edges(pairs):
     for x in rank:
         before = [rank[a] for a, b in edges if b == x]
         assert rank[x] == (max(before) + 1 if before else 0)
-
-
-@settings(deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 3), st.integers(0, 9), st.integers(0, 9)), max_size=30), st.lists(st.tuples(st.integers(0, 5), st.integers(0, 3), st.integers(0, 9)), min_size=1, max_size=30))
-def test_parents_in_force(parents, refs):
-    p = np.array(parents or np.empty((0, 4)), np.int64).reshape(-1, 4)
-    held = Parents(p[:, :2].astype(np.uint64), p[:, 2], p[:, 3])
-    r = np.array(refs, np.int64)
-    want = [any((a, b) == (x, y) and s <= t < e for x, y, s, e in parents) for a, b, t in refs]
-    assert held.in_force(r[:, :2].astype(np.uint64), r[:, 2]).tolist() == want
