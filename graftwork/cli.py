@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import os
-import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql import SparkSession
 from graftwork.engine import LearningGraph
 from graftwork.plans import views
 from graftwork.rules import DEFAULT
+from graftwork.scratch import Scratch
 from graftwork.sources.chat import Chat, available, edge_source, node_source
 
 
@@ -54,7 +54,7 @@ def parse_args(argv: list[str] | None = None) -> RunConfig:
     run.add_argument("--edges", type=count, default=RunConfig.edges)
     run.add_argument("--use-llm", dest="use_chat", type=truth, default=False)
     run.add_argument("--export-dot", default=None)
-    run.add_argument("--path", default=None, help="where the graph's tables go (a temporary folder by default)")
+    run.add_argument("--path", default=None, help="where the graph's tables go (by default the session's folder for intermediate tables, until the session ends)")
     values = vars(parser.parse_args(argv))
     values.pop("command")
     return RunConfig(**values)
@@ -62,7 +62,7 @@ def parse_args(argv: list[str] | None = None) -> RunConfig:
 
 def run(spark: SparkSession, config: RunConfig, chat: Chat | None = None) -> list[str]:
     """The whole pipeline; gives the report's lines."""
-    graph = LearningGraph(spark, config.path or tempfile.mkdtemp(prefix="graftwork-graph-"))
+    graph = LearningGraph(spark, config.path or Scratch(spark, "graph").path())
     service = available(config.use_chat, os.environ)
     lines = []
     steps = (("Nodes", lambda: graph.add_nodes(node_source(spark, config.concepts, config.outcomes, chat, service))), ("Edges", lambda: graph.add_edges(edge_source(graph.inventory(), config.edges, chat, service))))

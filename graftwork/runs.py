@@ -29,6 +29,8 @@ from graftwork.scratch import delete
 FAN = 8
 #: Rows of a row group: what a task holds of a run at once.
 GROUP_ROWS = 1 << 16
+#: Rows of a bucket up to which a task keeps what it has read of it; of a larger one it holds one row group.
+HELD_ROWS = 1 << 20
 #: Pairs of a key and a row that are handed over at once.
 PAIRS = 1 << 21
 
@@ -141,36 +143,45 @@ class Bucket:
     """The row groups of all runs that cover one range of keys (``number`` of 2 ** bits ranges)."""
 
     def __init__(self, places: list[tuple[str, int]], number: int, bits: int):
-        self.files, self.read, self.bytes = [], (-1, -1, None), 0
+        self.files, self.held, self.rows, self.bytes = [], {}, 0, 0
         for path, own in places:
             fs, at = pafs.FileSystem.from_uri(path)
             folder = f"{at}/bucket={number >> (bits - own)}"
             for f in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
                 if f.base_name.endswith(".parquet"):
                     file = pq.ParquetFile(fs.open_input_file(f.path))
+                    self.rows += file.metadata.num_rows
                     at_key = file.schema_arrow.names.index("key")
                     spans = [file.metadata.row_group(g).column(at_key).statistics for g in range(file.metadata.num_row_groups)]
                     self.files.append((file, [(s.min, s.max) if s is not None and s.has_min_max else (-(2**63), 2**63 - 1) for s in spans]))
 
+    def _group(self, i: int, g: int) -> pa.RecordBatch:
+        """A row group, kept as long as the bucket is small enough to be held as a whole."""
+        if (i, g) not in self.held:
+            if self.rows > HELD_ROWS:
+                self.held.clear()
+            file = self.files[i][0]
+            self.held[i, g] = file.read_row_group(g).combine_chunks().to_batches()[0]
+            self.bytes += file.metadata.row_group(g).total_byte_size
+        return self.held[i, g]
+
     def lookup(self, keys: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         """For sorted keys: (rows of a group, positions in keys, rows that hold them), a group at a time."""
-        for i, (file, spans) in enumerate(self.files):
+        for i, (_, spans) in enumerate(self.files):
             for g, (low, high) in enumerate(spans):
                 a, b = np.searchsorted(keys, low, "left"), np.searchsorted(keys, high, "right")
                 if a == b:
                     continue
-                if self.read[:2] != (i, g):
-                    self.read = (i, g, file.read_row_group(g).combine_chunks().to_batches()[0])
-                    self.bytes += file.metadata.row_group(g).total_byte_size
-                rows = self.read[2]
+                rows = self._group(i, g)
                 held = rows["key"].to_numpy()
                 left = np.searchsorted(held, keys[a:b], "left")
                 n = np.searchsorted(held, keys[a:b], "right") - left
-                stop = np.cumsum(n)
-                for c in range(0, int(stop[-1]), PAIRS):  # a key of many rows meets many: some at a time
-                    number = np.arange(c, min(c + PAIRS, int(stop[-1])))
-                    which = np.searchsorted(stop, number, "right")
-                    yield rows, a + which, left[which] + number - (stop[which] - n[which])
+                stop = np.r_[0, np.cumsum(n)]
+                # a key of many rows meets many: some keys at a time
+                cuts = np.unique(np.r_[np.searchsorted(stop, np.arange(0, stop[-1], PAIRS)), b - a])
+                for s, e in zip(cuts, cuts[1:], strict=False):
+                    mine = np.repeat(np.arange(s, e), n[s:e])
+                    yield rows, a + mine, np.arange(len(mine)) + np.repeat(left[s:e] - (stop[s:e] - stop[s]), n[s:e])
 
     def close(self) -> None:
         for file, _ in self.files:

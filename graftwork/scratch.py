@@ -1,7 +1,7 @@
 """Tables written between the steps of iterative operators.
 
-Every table goes to the folder that the session names in ``spark.checkpoint.dir``, which all
-executors share, so a lost executor never loses a step. Only where that setting is missing (tests,
+Every table goes to the folder that the session names in ``spark.checkpoint.dir`` (or was given by ``setCheckpointDir``), which
+all executors share, so a lost executor never loses a step. Only where neither is set (tests,
 a local shell) a temporary folder of this machine is used.
 """
 
@@ -19,9 +19,9 @@ _swept: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session, else one of our own."""
+    """Folder for intermediate tables: the session's checkpoint folder, else one of our own."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named:
         return named
     if sc.applicationId not in _own:
@@ -56,7 +56,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.kept: dict[int, tuple[DataFrame, str]] = {}  # holds the frames, so that no id is used twice
         self.n = 0
 
     def path(self) -> str:
@@ -67,17 +67,17 @@ class Scratch:
         path = self.path()
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.kept[id(out)] = out, path
         return out
 
     def drop(self, df: DataFrame | None) -> None:
-        path = self.paths.pop(id(df), None)
+        _, path = self.kept.pop(id(df), (None, None))
         if path:
             delete(self.spark, path)
 
     def clear(self) -> None:
         delete(self.spark, self.root)
-        self.paths.clear()
+        self.kept.clear()
 
 
 def delete(spark: SparkSession, path: str) -> None:

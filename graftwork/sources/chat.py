@@ -75,16 +75,16 @@ def node_source(spark: SparkSession, n_concepts: int | None = None, n_outcomes:
 
 
 def inventory_prompt(nodes: DataFrame) -> DataFrame:
-    """One row: the inventory as a JSON list, in order. It goes into one prompt, so the caller bounds it."""
+    """One row: the inventory as a JSON list, in order. It goes into one prompt."""
     item = F.to_json(F.struct("id", "kind", "level", "text"))
     return nodes.agg(F.array_sort(F.collect_list(F.struct("seq", item.alias("item")))).alias("items")).select(F.concat(F.lit("["), F.array_join("items.item", ","), F.lit("]")).alias("inventory"))
 
 
-def edge_source(nodes: DataFrame, target: int | None = None, chat: Chat | None = None, config: ChatConfig | None = None, rules: RuleSet = DEFAULT, prompt_nodes: int = 500) -> DataFrame:
-    """Edge proposals of the chat service (shown the first ``prompt_nodes`` nodes), else of the generator."""
+def edge_source(nodes: DataFrame, target: int | None = None, chat: Chat | None = None, config: ChatConfig | None = None, rules: RuleSet = DEFAULT) -> DataFrame:
+    """Edge proposals of the chat service, which is shown the whole inventory, else of the generator."""
     if chat and config:
         try:
-            shown = inventory_prompt(nodes.orderBy("seq").limit(prompt_nodes)).first()[0]
+            shown = inventory_prompt(nodes).first()[0]
             prompt = f"Propose up to {generators.requested(target, rules.default_edges)} edges (PrerequisiteFor, Supports) between these nodes, with a rationale each: {shown}"
             if (rows := _parsed(nodes.sparkSession, chat(config, prompt, schemas.EDGE_PAYLOAD), payloads.edge_payloads)) is not None:
                 return rows

@@ -35,4 +35,5 @@ def event_line_stream(spark: SparkSession, events: str, out: str, checkpoint: st
     stream = spark.readStream.schema(schemas.EVENTS + ", batch_id bigint, part bigint").parquet(events)
     nodes = stream.where("event_type IN ('NodeAccepted', 'NodeRejected')")
     edges = stream.where("event_type IN ('EdgeAccepted', 'EdgeRejected')")
-    return views.event_lines(nodes, edges).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    lines = views.event_lines(nodes, edges).unionByName(views.summary_event_lines(stream))
+    return lines.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
