@@ -5,8 +5,8 @@ all of them, so the rarest one (by the number of documents that hold it, counted
 is a necessary token: the prefix of the run. Only documents with a prefix token are looked at further; around each
 hit the run may reach no farther than the item and the document do, and is verified word by word.
 
-The items' shingles are sent to the tasks when they number at most ``HELD`` (40 bytes each), which is counted
-first; beyond that ``leaks`` joins shingles by shuffle (``_leaks_by_shuffle``) with the same result.
+Items are taken in blocks of about ``HELD`` words, as many as they fill: a block (some 100 MB at most) is sent to the tasks and
+set against all documents, so the corpus is read twice for each block and nothing of it is shuffled.
 
 Defined results: null and empty texts, and items with fewer than ``RUN`` words, leak nothing; a passage that several items share
 counts for each; a repeated row gives its pairs once; empty tables give no rows.
@@ -15,6 +15,7 @@ counts for each; a repeated row gives its pairs once; empty tables give no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,15 +43,6 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Words
             yield part.column(0), Words(part.column(1))
 
 
-def _shingle_rows(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, w in _slices(batches):
-            h, at = shingles(w, size)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(w.text[at])), pa.array(h.view(np.int64)), pa.array((at - w.start[w.text[at]]).astype(np.int32))], ["id", "shingle", "pos"])
-
-    return run
-
-
 def _document_counts(held, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held.value
@@ -126,45 +118,22 @@ def _probe(prefixes):
 
 def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, size: int = SHINGLE, held: int = HELD) -> DataFrame:
     """doc_id, item_id: documents (doc_id BIGINT, text) with ``run`` consecutive words of an item (item_id BIGINT, text)."""
-    spark = documents.sparkSession
     docs = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     items = items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    if (items.agg(F.sum(F.length("text"))).first()[0] or 0) // 2 > held:  # a word and its gap are two characters at least
-        return _leaks_by_shuffle(docs, items, run, size)
+    words = (items.agg(F.sum(F.length("text"))).first()[0] or 0) // 2  # a word and its gap are two characters at least
+    blocks = max(1, -(-words // held))
+    found = [_block_leaks(docs, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k), run, size) for k in range(blocks)]
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _block_leaks(docs: DataFrame, items: DataFrame, run: int, size: int) -> DataFrame:
+    spark = docs.sparkSession
     local = items.toArrow().combine_chunks()
-    if not local.num_rows:
+    w = Words(local["text"].combine_chunks()) if local.num_rows else None
+    known = np.unique(shingles(w, size)[0]) if w else np.empty(0, np.uint64)
+    if not len(known):
         return docs.select("doc_id", F.lit(None).cast("long").alias("item_id")).where("false")
-    w = Words(local["text"].combine_chunks() if isinstance(local["text"], pa.ChunkedArray) else local["text"])
-    known = np.unique(shingles(w, size)[0])
-    counts: dict[int, int] = {}
-    if len(known):
-        counted = docs.mapInArrow(_document_counts(spark.sparkContext.broadcast(known), size), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).toArrow()
-        counts = dict(zip(counted["shingle"].to_pylist(), counted["n"].to_pylist(), strict=True))  # at most one entry a known shingle
+    counted = docs.mapInArrow(_document_counts(spark.sparkContext.broadcast(known), size), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).toArrow()
+    counts = dict(zip(counted["shingle"].to_pylist(), counted["n"].to_pylist(), strict=True))  # at most one entry a known shingle
     prefixes = spark.sparkContext.broadcast(Prefixes(local["item_id"].to_numpy(), w, counts, run, size))
-    return docs.mapInArrow(_probe(prefixes), "doc_id long, item_id long").distinct()
-
-
-def _verify(run: int):
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for i in range(b.num_rows):
-                a, c = (Words(b[name].slice(i, 1)) for name in ("doc_text", "item_text"))
-                keep.append(bool(np.isin(shingles(a, run)[0], shingles(c, run)[0]).any()))
-            yield pa.RecordBatch.from_arrays([b["doc_id"].filter(pa.array(keep)), b["item_id"].filter(pa.array(keep))], ["doc_id", "item_id"])
-
-    return go
-
-
-def _leaks_by_shuffle(docs: DataFrame, items: DataFrame, run: int, size: int) -> DataFrame:
-    rows = "id long, shingle long, pos int"
-    of_docs, of_items = docs.mapInArrow(_shingle_rows(size), rows), items.mapInArrow(_shingle_rows(size), rows)
-    wanted = of_items.select("shingle").distinct()
-    counts = of_docs.join(wanted, "shingle", "left_semi").select("shingle", "id").distinct().groupBy("shingle").agg(F.count("*").alias("n"))
-    ranked = of_items.join(counts, "shingle", "left").select("id", "pos", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle").alias("s"))
-    inside = run - size + 1
-    windows = ranked.select("id", "s", F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - inside + 1), "pos")).alias("begin"))
-    prefix = windows.groupBy("id", "begin").agg(F.min("s").alias("s"), F.count("*").alias("k")).where(F.col("k") == inside).select(F.col("id").alias("item_id"), F.col("s.shingle").alias("shingle")).distinct()
-    pairs = of_docs.select(F.col("id").alias("doc_id"), "shingle").distinct().join(prefix, "shingle").select("doc_id", "item_id").distinct()
-    told = pairs.join(docs.select("doc_id", F.col("text").alias("doc_text")), "doc_id").join(items.select("item_id", F.col("text").alias("item_text")), "item_id")
-    return told.select("doc_id", "item_id", "doc_text", "item_text").mapInArrow(_verify(run), "doc_id long, item_id long").distinct()
+    return docs.mapInArrow(_probe(prefixes), "doc_id long, item_id long")
