@@ -75,15 +75,19 @@ class Frozen:
         out["place"] = np.r_[np.zeros(len(whole), np.int64), np.minimum(place, LONGEST)]
         return out
 
-    def may_match(self, new: np.ndarray, old: dict[str, np.ndarray]) -> np.ndarray:
-        """Whether pairs of segments with one key can belong to texts within the bound."""
+    def matches(self, new: np.ndarray, mine: np.ndarray, old: pa.RecordBatch, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs of segments with one key (places in new and old) that can belong to texts within the bound."""
         least = round(self.least * 1000)
-        a, b = new["size"].astype(np.int64), old["size"].astype(np.int64)
-        total = a + b
-        differ = np.bitwise_count(new["sketch"] ^ old["sketch"]).astype(np.int64)
-        left = np.minimum(a - new["place"], b - old["place"])  # words that can still be common
-        near = (differ * (1000 + least) <= total * (1000 - least)) & (left * (1000 + least) >= total * least) & (np.minimum(a, b) * 1000 >= np.maximum(a, b) * least)
-        return np.where((a == 0) | (b == 0), a == b, near | (np.maximum(a, b) == LONGEST))
+        a, b = np.ascontiguousarray(new["size"]).astype(np.int32)[mine], old["size"].to_numpy().astype(np.int32)[theirs]
+        x, y = (np.ascontiguousarray(new["size"] - new["place"]))[mine], (old["size"].to_numpy() - old["place"].to_numpy())[theirs]
+        near = np.minimum(x, y).astype(np.int32) * (1000 + least) >= (a + b) * least  # words that can still be common
+        near &= np.minimum(a, b) * 1000 >= np.maximum(a, b) * least
+        near |= np.maximum(a, b) == LONGEST
+        near = np.where((a == 0) | (b == 0), a == b, near)
+        mine, theirs, total = mine[near], theirs[near], (a + b)[near]
+        differ = np.bitwise_count(np.ascontiguousarray(new["sketch"])[mine] ^ old["sketch"].to_numpy()[theirs]).astype(np.int32)
+        near = (differ * (1000 + least) <= total * (1000 - least)) | (total == 0) | (total >= LONGEST)
+        return mine[near], theirs[near]
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,9 +136,8 @@ def _look_up(frozen, places: list[tuple[str, int]], bits: int, read):
                     at, bucket = number, Bucket(places, number, bits)
                 new = np.frombuffer(packed, SEGMENT)
                 for rows, mine, theirs in bucket.lookup(new["key"]):
-                    old = {c: rows[c].to_numpy()[theirs] for c in SEGMENT.names[1:]}
-                    ok = frozen.value.may_match(new[mine], old)
-                    pairs = np.unique(np.stack([new["ref"][mine[ok]], old["ref"][ok]]), axis=1)
+                    mine, theirs = frozen.value.matches(new, mine, rows, theirs)
+                    pairs = np.unique(np.stack([new["ref"][mine], rows["ref"].to_numpy()[theirs]]), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[0])), pa.array(np.ascontiguousarray(pairs[1]))], ["new", "old"])
         if bucket is not None:
             read.add(bucket.bytes)
@@ -207,12 +210,6 @@ class SegmentIndex:
         self.texts.append(rows.mapInArrow(_facts, self.texts.schema), n)
         self.segments.append(rows.select("text").mapInArrow(_segment_rows(self.frozen), self.segments.schema), n * SEGMENTS)
 
-    def _by_bucket(self, rows: DataFrame, bits: int, spread) -> DataFrame:
-        """Rows by bucket, each bucket over so many tasks as there are more tasks than buckets."""
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        slices = max(1, -(-4 * parts >> bits))
-        return rows.repartition(parts, "bucket", F.pmod(F.xxhash64(spread), F.lit(slices)))
-
     def probe(self, batch: DataFrame) -> DataFrame:
         """new_id, old_id for the rows (new_id, text, batch BIGINT) of a batch that repeat a stored text of a smaller batch number."""
         rows = batch.select(F.col("new_id").alias("id"), "batch", "text").where("id IS NOT NULL AND batch IS NOT NULL AND text IS NOT NULL")
@@ -221,12 +218,13 @@ class SegmentIndex:
             return rows.select(F.col("id").alias("new_id"), F.lit(None).cast("string").alias("old_id")).where("false")
         bits = self.segments.bits
         packed = rows.select("text").mapInArrow(_probe_rows(self.frozen, bits), "bucket int, packed binary")
-        met = self._by_bucket(packed, bits, "packed").sortWithinPartitions("bucket")
+        # any task can read any bucket, so a bucket that many segments fall into is split by size
+        met = packed.hint("rebalance", "bucket").sortWithinPartitions("bucket")
         pairs = met.mapInArrow(_look_up(self.frozen, self.segments.places(), bits, self.bytes_read), "new long, old long").distinct()
         told = pairs.join(rows.mapInArrow(_facts, f"key long, id {kind}, batch long, letters long, words binary"), F.col("new") == F.col("key"))
         bits = self.texts.bits
         told = told.select(bucket_of(F.col("old"), bits).alias("bucket"), "old", "id", "batch", "letters", "words")
-        told = self._by_bucket(told, bits, "id").sortWithinPartitions("bucket", "old")
+        told = told.hint("rebalance", "bucket").sortWithinPartitions("bucket", "old")
         return told.mapInArrow(_verify(self.frozen, self.texts.places(), bits, self.bytes_read), f"new_id {kind}, old_id string").distinct()
 
 
