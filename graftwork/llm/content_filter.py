@@ -14,7 +14,8 @@ decision, so scoring a corpus costs a few table lookups a character.
 The sample for the fit is bounded: ``SAMPLE`` positive and as many negative labelled documents, those with the smallest
 hash. Scoring covers every character of every document. A document's score is that of its worst passage.
 
-Defined results: null, empty and very short texts have score ``NOTHING``. Documents whose raters disagree go by the
+Passages of any length are scored; one of fewer than five characters is read with the end of its line. Defined results: null
+and empty texts, and texts without a letter or digit, have score ``NOTHING``. Documents whose raters disagree go by the
 majority, ties count as positive; null labels are no votes. Without labels of both kinds the machine
 scores everything ``NOTHING``. Repeated rows of documents give repeated rows.
 """
@@ -37,7 +38,7 @@ HARD, COST = 3_000, 5.0
 SPLIT = 0.7
 BITS, GAP, NOTHING = 18, 0.6, -9.0
 #: Bytes of a passage: sentences up to WHOLE are one, longer ones are read in windows of WINDOW, STEP apart.
-WHOLE, WINDOW, STEP, LEAST = 100, 80, 40, 12
+WHOLE, WINDOW, STEP = 100, 80, 40
 POSITIVE = ("abusive", "hateful", "sexual")
 
 #: Cyrillic and Greek letters and signs, and the Latin letters that they are drawn like.
@@ -79,7 +80,7 @@ class Passages:
         stop = np.flatnonzero(raw == 10)
         start = np.r_[0, stop[:-1] + 1] if len(stop) else stop
         size = stop - start
-        keep = size >= LEAST
+        keep = size > 0
         start, size = start[keep], size[keep]
         n = np.where(size <= WHOLE, 1, -(-(size - WINDOW) // STEP) + 1)
         j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -94,7 +95,10 @@ class Passages:
         """For each kind of subsequence: the feature that starts at each byte, and its weight."""
         b = np.r_[self.bytes, np.zeros(5, np.uint8)].astype(np.uint32)
         n = len(self.bytes)
-        at = [b[k : n + k] for k in range(5)]
+        at, over = [b[:n]], np.zeros(n, bool)
+        for k in range(1, 5):  # nothing behind the end of a line belongs to what begins before it
+            over = over | (at[k - 1] == 10)
+            at.append(np.where(over, np.uint32(0), b[k : n + k]))
         out = []
         for places, weight in (((0, 1, 2, 3), 1.0), ((0, 2, 3, 4), GAP), ((0, 1, 3, 4), GAP), ((0, 1, 2, 4), GAP)):
             h = at[places[0]]
@@ -103,8 +107,12 @@ class Passages:
             out.append((((h * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int32), weight))
         return out
 
+    def length(self) -> np.ndarray:
+        """Places of each passage at which subsequences begin."""
+        return np.maximum(self.end - self.start - 4, 1)
+
     def norm(self) -> np.ndarray:
-        return np.sqrt(np.maximum(self.end - self.start - 4, 1) * (1 + 3 * GAP * GAP))
+        return np.sqrt(self.length() * (1 + 3 * GAP * GAP))
 
     def scores(self, weights: np.ndarray, bias: float) -> np.ndarray:
         """Decision of the folded machine for each passage."""
@@ -113,7 +121,7 @@ class Passages:
         for h, w in self.features:
             each += weights[h] * np.float32(w)
         np.cumsum(each, out=total[1:])
-        return (total[self.end - 4] - total[self.start]) / self.norm() + bias
+        return (total[self.start + self.length()] - total[self.start]) / self.norm() + bias
 
     def worst(self, weights: np.ndarray, bias: float, n: int) -> np.ndarray:
         """The highest score of each text."""
@@ -124,7 +132,7 @@ class Passages:
 
 def _vectors(p: Passages, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse features (row, feature, value) of some passages, of unit norm."""
-    length = p.end[which] - 4 - p.start[which]
+    length = p.length()[which]
     row = np.repeat(np.arange(len(which)), length)
     at = np.repeat(p.start[which], length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
     scale = (1 / p.norm()[which])[row]
@@ -193,7 +201,7 @@ class Machine:
         p = Passages(pa.array(texts, pa.string()))
         bag = positive[p.text]
         weights, bias = _odds(p, positive), 0.0
-        evident = p.scores(weights, bias) * p.norm() / np.maximum(p.end - p.start - 4, 1) / (1 + 3 * GAP)  # mean odds of its subsequences
+        evident = p.scores(weights, bias) * p.norm() / p.length() / (1 + 3 * GAP)  # mean odds of its subsequences
         enough = SPLIT * _split(evident[_leaders(p.text, bag, p.scores(weights, bias))])
         for step in range(rounds):
             score = p.scores(weights, bias)

@@ -39,10 +39,10 @@ def test_held_out_accuracy():
 
 
 def test_passages():
-    p = Passages(pa.array(["Hello there, w0rld! And soooo on we go", None, "", "hi", "x y " * 300]))
+    p = Passages(pa.array(["Hello there, w0rld! And soooo on we go", None, "", "hi", "x y " * 300, "!?"]))
     read = [bytes(p.bytes[a:b]).decode() for a, b in zip(p.start, p.end, strict=True)]
-    assert read[:2] == ["hello there world", "and so on we go"]
-    assert set(p.text.tolist()) == {0, 4}
+    assert read[:3] == ["hello there world", "and so on we go", "hi"]
+    assert set(p.text.tolist()) == {0, 3, 4}
     assert (p.end - p.start <= WHOLE).all()
     covered = np.zeros(len(p.bytes), bool)
     for a, b, t in zip(p.start, p.end, p.text, strict=True):
@@ -50,6 +50,34 @@ def test_passages():
     assert covered.sum() >= 1_199
 
 
+def test_a_short_passage_is_read_to_the_end_of_its_line():
+    alone, before, longer = (Passages(pa.array([t])) for t in ("die!", "die!\nother words", "die soon"))
+    first = lambda p: [h[p.start[0]] for h, _ in p.features]
+    assert first(alone) == first(before) != first(longer)
+    weights = np.zeros(1 << 18, np.float32)
+    for h, w in alone.features:
+        weights[h[0]] += w
+    assert abs(alone.scores(weights, 0.0)[0] - alone.norm()[0]) < 1e-5
+
+
+def test_short_insults_alone_and_within():
+    train, label = texts(600, 4)
+    short = ["You {}!", "{}, get lost.", "Shut up, {}."]
+    rng = random.Random(5)
+    for i in np.flatnonzero(label)[::2]:
+        parts = train[i].split(". ")
+        train[i] = ". ".join([rng.choice(PLAIN).format(rng.choice(THINGS)), rng.choice(short).format(rng.choice(NAMES)), parts[-1]])
+    greetings = ["Thanks!", "See you.", "42", "Good work, all."]
+    for i in np.flatnonzero(~label)[::2]:
+        train[i] = f"{rng.choice(greetings)} {train[i]} {rng.choice(greetings)}"
+    machine = Machine.train(train, label)
+    mean = [s.format(n) for s in short for n in NAMES]
+    within = [f"The first part is done. {x} The second part follows next week" for x in mean]
+    kind = [*greetings, *(f"The first part is done. {x} The second part follows next week" for x in greetings)]
+    score = lambda t: Passages(pa.array(t)).worst(machine.weights, machine.bias, len(t)) >= machine.threshold
+    assert score(mean).mean() > 0.9 and score(within).mean() > 0.9 and not score(kind).any()
+
+
 def test_tables(spark):
     rows, label = texts(200, 3)
     docs = spark.createDataFrame([(i, t, "z") for i, t in enumerate(rows)] + [(900, None, "z"), (901, "", "z")], "doc_id long, text string, label string")
