@@ -154,7 +154,9 @@ def _cycles(links: DataFrame, merge_rows: int) -> DataFrame:
     images = -1
     while True:  # the nodes that walks of 2^k steps reach become fewer until only cycles are left
         other = state.select(F.col("node").alias("n2"), F.col("far").alias("f2"), F.col("low").alias("l2"))
-        state = scratch.keep(state.join(other, F.col("far") == F.col("n2")).select("node", F.col("f2").alias("far"), F.least("low", "l2").alias("low")))
+        step = scratch.keep(state.join(other, F.col("far") == F.col("n2")).select("node", F.col("f2").alias("far"), F.least("low", "l2").alias("low")))
+        scratch.drop(state)
+        state = step
         now = state.select("far").distinct().count()
         if now == images:
             break
@@ -163,7 +165,9 @@ def _cycles(links: DataFrame, merge_rows: int) -> DataFrame:
     ring = state.join(on, "node", "left_semi")
     for _ in range(ring.count().bit_length()):  # on a cycle the smallest id settles once walks go all round
         other = ring.select(F.col("node").alias("n2"), F.col("far").alias("f2"), F.col("low").alias("l2"))
-        ring = scratch.keep(ring.join(other, F.col("far") == F.col("n2")).select("node", F.col("f2").alias("far"), F.least("low", "l2").alias("low")))
+        step = scratch.keep(ring.join(other, F.col("far") == F.col("n2")).select("node", F.col("f2").alias("far"), F.least("low", "l2").alias("low")))
+        scratch.drop(ring)
+        ring = step
     lows = ring.select(F.col("node").alias("n2"), F.col("low").alias("ring_low"))
     below = state.join(lows, F.col("far") == F.col("n2")).join(on.withColumn("is_on", F.lit(True)), "node", "left")
     mine = ring.select(F.col("node"), F.col("low").alias("own_low"))

@@ -99,10 +99,9 @@ class Runs:
 
     def _write(self, rows: DataFrame, n: int) -> dict:
         bits, name = bits_for(n, self.bucket_rows), f"run-{self.state['next']}"
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        slices = max(1, parts >> bits)  # few buckets still fill all tasks, and a key of many rows is several files
         columns = [c.split()[0] for c in self.schema.split(", ")]
-        placed = rows.select(*columns).withColumn("bucket", bucket_of(F.col("key"), bits)).repartition(max(parts, 1 << min(bits, 16)), "bucket", F.pmod(F.xxhash64(*columns), F.lit(slices)))
+        # by size, not by key alone: a bucket of many rows is several files
+        placed = rows.select(*columns).withColumn("bucket", bucket_of(F.col("key"), bits)).hint("rebalance", "bucket")
         placed.sortWithinPartitions("bucket", "key").write.option("parquet.block.row.count.limit", GROUP_ROWS).partitionBy("bucket").parquet(f"{self.path}/{name}")
         self.state["next"] += 1
         return {"name": name, "rows": n, "bits": bits}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -21,4 +23,5 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(here.rglob("*.py")):
             z.write(p, p.relative_to(here.parent))
     sc.addPyFile(f.name)
+    atexit.register(lambda: os.path.exists(f.name) and os.remove(f.name))  # executors that start later ask the driver for it
     _sent.add(sc.applicationId)
