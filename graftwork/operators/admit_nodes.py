@@ -52,7 +52,8 @@ def admit_nodes(proposals: DataFrame, store: DataFrame | None = None, rules: Rul
     firsts = passed.groupBy("norm_text", "batch_id").agg(F.min("pos").alias("first_pos"))
     seen = firsts.groupBy("norm_text").agg(F.min("batch_id").alias("first_batch"))
     if store is not None:
-        known = store.groupBy("norm_text").agg(F.min("batch_id").alias("store_batch"))
+        # of the history only the batch's own texts; a small batch is sent to it, so the history is not shuffled
+        known = store.join(seen.select("norm_text"), "norm_text", "left_semi").groupBy("norm_text").agg(F.min("batch_id").alias("store_batch"))
         seen = seen.join(known, "norm_text", "left")
     else:
         seen = seen.withColumn("store_batch", F.lit(None).cast("long"))

@@ -11,7 +11,7 @@ are handed out by size, not by key: those of a key that a third of all rows name
 
 Defined results: null reference: no case. A value that is no UUID: a case. Null time: a case (nothing
 is known to exist then). Null accepted_at: the record never exists. Repeated rows (same table,
-row id and field): one case. Empty parents: every non-null reference is a case.
+row id and field, null row ids among them): one case. Empty parents: every non-null reference is a case.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from graftwork.runs import Bucket, Runs
 from graftwork.scratch import Scratch
 
 RANGE_KEYS = 1 << 17
-NEVER = np.iinfo(np.int64).max
+NEVER, NO_ROW = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 #: References of one packed vector, at most.
 VECTOR = 1 << 16
 REFERENCE = np.dtype([("key", "<i8"), ("high", "<i8"), ("low", "<i8"), ("at", "<i8"), ("row_id", "<i8")])
@@ -53,7 +53,7 @@ def _packed(bits: int):
             kind = kinds[0].indices.to_numpy().astype(np.int64) * max(1, len(kinds[1].dictionary)) + kinds[1].indices.to_numpy()
             rows = np.zeros(b.num_rows, REFERENCE)
             for c in REFERENCE.names:
-                rows[c] = b[c].fill_null(0).to_numpy(zero_copy_only=False)
+                rows[c] = b[c].fill_null(NO_ROW if c == "row_id" else 0).to_numpy(zero_copy_only=False)
             bucket = (rows["key"].view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(rows), np.int64)
             bucket[b["key"].is_null().to_numpy(zero_copy_only=False)] = -1
             order = np.lexsort((rows["key"], bucket, kind))
@@ -88,7 +88,7 @@ def _probed(places: list[tuple[str, int]], bits: int, all_rows: bool):
                         found[mine[(high == own["high"]) & (low == own["low"]) & (since <= own["at"]) & (until > own["at"])]] = True
                 shown = refs if all_rows else refs[~found]
                 orphan = ~found if all_rows else np.ones(len(shown), bool)
-                columns = [pa.array([table] * len(shown), pa.string()), pa.array(np.ascontiguousarray(shown["row_id"])), pa.array([field] * len(shown), pa.string()), pa.array(np.ascontiguousarray(shown["at"])), pa.array(orphan)]
+                columns = [pa.array([table] * len(shown), pa.string()), pa.array(np.ascontiguousarray(shown["row_id"]), mask=shown["row_id"] == NO_ROW), pa.array([field] * len(shown), pa.string()), pa.array(np.ascontiguousarray(shown["at"])), pa.array(orphan)]
                 yield pa.RecordBatch.from_arrays(columns, ["src_table", "row_id", "ref_field", "at", "orphan"])
 
     return run

@@ -101,3 +101,23 @@ def test_command_line():
         with pytest.raises(SystemExit) as e:
             parse_args(bad)
         assert e.value.code == 1
+
+
+def test_display_and_log_follow_each_batch(spark, tmp_path, caplog):
+    drawn = []
+    graph = LearningGraph(spark, str(tmp_path), redraw=lambda *frames: drawn.append([[tuple(r) for r in f.collect()] for f in frames]))
+    with caplog.at_level("INFO", logger="graftwork.engine"):
+        graph.add_nodes(generators.node_proposals(spark))
+        graph.add_nodes(generators.node_proposals(spark))  # all are there already: nothing to redraw
+        graph.add_edges(generators.edge_proposals(graph.inventory()))
+    assert [[len(f) for f in d] for d in drawn] == [[30, 0, 0], [30, 16, 15]]
+    assert [(r[1], r[2]) for r in drawn[0][0]] == sorted((r[1], r[2]) for r in drawn[0][0])
+    assert all(f == sorted(f) for f in drawn[1][1:])
+    said = [r.getMessage() for r in caplog.records]
+    assert said == ["batch 0: accepted 30 nodes, rejected 0", "batch 1: accepted 0 nodes, rejected 30", "batch 1: rejected 30 nodes: duplicate node already present", "batch 2: accepted 31 edges, rejected 8", "batch 2: rejected 8 edges: prerequisite edges must not decrease level"]
+
+
+def test_a_prompt_shows_every_node(spark):
+    rows = spark.range(700).selectExpr("CAST(id AS STRING) id", "'Concept' kind", "0 level", "concat('Text ', id, '.') text", "id seq")
+    shown = json.loads(chat.inventory_prompt(rows).first().inventory)
+    assert [x["id"] for x in shown] == [str(i) for i in range(700)]

@@ -104,6 +104,11 @@ def test_references(spark):
     assert orphan_references(refs.where("false"), parents).count() == 0
     report = {r.month: (r.n_references, r.n_orphans) for r in orphan_report(refs, parents).collect()}
     assert sum(n for _, n in report.values()) == len(want)
+    assert sum(n for n, _ in report.values()) == sum(x is not None for _, f, t, _ in rows for x in (f, t))
+    # a key that fills most of the table, and rows without an id
+    hot = spark.range(30_000).selectExpr("IF(id % 100 = 0, NULL, id) k", f"'{ids[50]}' from_id", "CAST(NULL AS STRING) to_id", "TIMESTAMP '2026-01-05 00:00:00' at")
+    cases = orphan_references(reference_rows(hot, "t", "k", "at", ["from_id", "to_id"]), parents, range_keys=4)
+    assert cases.count() == 29_701 and cases.where("row_id IS NULL").count() == 1
 
 
 @pytest.mark.parametrize("limit", [200_000, 0])
