@@ -184,4 +184,4 @@ class Bucket:
 
     def close(self) -> None:
         for file, _ in self.files:
-            file.close()
+            file.close(force=True)

@@ -89,7 +89,7 @@ def test_edge_cases(spark):
 
 @pytest.mark.parametrize(("seed", "walk"), [(1, 50_000), (2, 0)])
 def test_edges_against_model(spark, monkeypatch, seed, walk):
-    monkeypatch.setattr(acyclic, "WALK_EDGES", walk)
+    monkeypatch.setattr(acyclic, "ONE_TASK", walk)
     rng = random.Random(seed)
     nodes = {i: (rng.choice(["Concept"] * 4 + ["LearningOutcome"]), rng.choice([0, 0, 1])) for i in IDS[:10]}
     rows = [(b, p, rng.choice(["PrerequisiteFor"] * 3 + ["Supports"]), rng.choice(IDS[:11]), rng.choice(IDS[:10]), rng.choice(["why", "because", " "])) for b in range(3) for p in range(60)]
