@@ -187,16 +187,17 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 2
 
 
 class Machine:
-    """Folded weights, bias, and the threshold from which a document counts."""
+    """Folded weights, bias, and the gap between the scores of harmless and other documents; from its middle, ``threshold``, on a document counts."""
 
-    def __init__(self, weights: np.ndarray, bias: float, threshold: float):
-        self.weights, self.bias, self.threshold = weights.astype(np.float32), bias, threshold
+    def __init__(self, weights: np.ndarray, bias: float, low: float, high: float):
+        self.weights, self.bias, self.low, self.high = weights.astype(np.float32), bias, low, high
+        self.threshold = (low + high) / 2
 
     @classmethod
     def train(cls, texts: list[str | None], positive: np.ndarray, landmarks: int = LANDMARKS, rounds: int = ROUNDS, seed: int = 7) -> Machine:
         """positive: whether each text holds such a passage."""
         if not len(positive) or not positive.any() or positive.all():
-            return cls(np.zeros(1 << BITS), NOTHING, 0.0)
+            return cls(np.zeros(1 << BITS), NOTHING, 0.0, 0.0)
         rng = np.random.default_rng(seed)
         p = Passages(pa.array(texts, pa.string()))
         bag = positive[p.text]
@@ -228,7 +229,7 @@ class Machine:
             w, bias = squared_hinge(x, y, cost)
             weights = held.fold(to @ w)
         worst = p.worst(weights, bias, len(texts))
-        return cls(weights, bias, _threshold(worst))
+        return cls(weights, bias, *_gap(worst))
 
 
 def _odds(p: Passages, positive: np.ndarray) -> np.ndarray:
@@ -263,12 +264,12 @@ def _split(x: np.ndarray) -> float:
     return float((x[k] + x[k + 1]) / 2)
 
 
-def _threshold(score: np.ndarray) -> float:
-    """The middle of the widest gap between the documents' scores around the machine's own boundary. (Labels are not
+def _gap(score: np.ndarray) -> tuple[float, float]:
+    """The widest gap between the documents' scores around the machine's own boundary. (Labels are not
     asked: raters err in both directions, and the few documents near the boundary would follow their errors.)"""
     near = np.sort(np.r_[-0.5, score[(score > -0.5) & (score < 0.9)], 0.9])
     k = int(np.argmax(np.diff(near)))
-    return float((near[k] + near[k + 1]) / 2)
+    return float(near[k]), float(near[k + 1])
 
 
 def labelled(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

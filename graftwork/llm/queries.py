@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graftwork.llm.alike_sql import SQL as ALIKE_SQL
 from graftwork.llm.contamination import leaks
-from graftwork.llm.content_filter import fit, score_documents
+from graftwork.llm.content_filter import Machine, fit, score_documents
 from graftwork.llm.ledger import Ledger, json_keys, text_key
 from graftwork.llm.near_duplicates import near_duplicates
 from graftwork.llm.segment_index import repeats_of_history
@@ -85,25 +85,21 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return items.join(p7_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_documents")), "item_id", "left").select("item_id", "suite", F.coalesce("n_documents", F.lit(0)).alias("n_documents"))
 
 
-#: From this far above the threshold a document is excluded, from this far below it is reviewed.
-EXCLUDE, REVIEW = 0.5, -0.3
-
-
-def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, float]:
+def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, Machine]:
     documents = table(spark, d, "documents")
     machine = fit(documents, table(spark, d, "review_labels"))
-    return score_documents(documents, machine), machine.threshold
+    return score_documents(documents, machine), machine
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    scored, threshold = _scored(spark, d)
-    return scored.where(F.col("score") >= threshold).select("doc_id")
+    scored, machine = _scored(spark, d)
+    return scored.where(F.col("score") >= machine.threshold).select("doc_id")
 
 
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Every document with its score and what to do with it."""
-    scored, threshold = _scored(spark, d)
-    decision = F.when(F.col("score") >= threshold + EXCLUDE, "exclude").when(F.col("score") >= threshold + REVIEW, "review").otherwise("keep")
+    """Every document with its score and what to do with it: above the gap exclude, within it (no labelled document scores so) review."""
+    scored, machine = _scored(spark, d)
+    decision = F.when(F.col("score") >= machine.high, "exclude").when(F.col("score") > machine.low, "review").otherwise("keep")
     return scored.select("doc_id", F.round("score", 6).alias("score"), decision.alias("decision"))
 
 

@@ -133,6 +133,7 @@ def _look_up(frozen, places: list[tuple[str, int]], bits: int, read):
                 if number != at:
                     if bucket is not None:
                         read.add(bucket.bytes)
+                        bucket.close()
                     at, bucket = number, Bucket(places, number, bits)
                 new = np.frombuffer(packed, SEGMENT)
                 for rows, mine, theirs in bucket.lookup(new["key"]):
@@ -167,6 +168,7 @@ def _verify(frozen, places: list[tuple[str, int]], bits: int, read):
                 if number[s] != at:
                     if bucket is not None:
                         read.add(bucket.bytes)
+                        bucket.close()
                     at, bucket = number[s], Bucket(places, int(number[s]), bits)
                 part = b.slice(s, e - s)
                 for rows, mine, theirs in bucket.lookup(part["old"].to_numpy()):
