@@ -26,7 +26,7 @@ LINK = ["from_id", "to_id", "relation"]
 def checked_edges(proposals: DataFrame, nodes: DataFrame, edges: DataFrame, rules: RuleSet = DEFAULT) -> DataFrame:
     """Adds seq, early_reason (rules before the cycle rule, without links accepted in this run) and late_reason (rules after it).
     A node is known to proposals of its own batch and later ones."""
-    rows = once(proposals).withColumns(
+    cleaned = once(proposals).withColumns(
         {
             "relation": domain_value(F.col("relation"), rules.relations),
             "from_id": F.coalesce(canonical_id(F.col("from_id")), F.lit("")),
@@ -35,6 +35,7 @@ def checked_edges(proposals: DataFrame, nodes: DataFrame, edges: DataFrame, rule
             "seq": sequence_number(),
         }
     )
+    rows = Scratch(proposals.sparkSession, "cleaned").keep(cleaned)  # two readers: the ids are cleaned once
     firsts = rows.groupBy("batch_id", *LINK).agg(F.min("pos").alias("first_pos"))
     keyed = [rows[c].eqNullSafe(firsts[c]) for c in ("batch_id", *LINK)]
     rows = rows.join(firsts, keyed[0] & keyed[1] & keyed[2] & keyed[3]).select(rows["*"], firsts["first_pos"])

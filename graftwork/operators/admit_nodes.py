@@ -61,9 +61,9 @@ def admit_nodes(proposals: DataFrame, store: DataFrame | None = None, rules: Rul
     later = F.coalesce(F.col("first_batch") < F.col("batch_id"), F.lit(False)) | F.coalesce(F.col("store_batch") < F.col("batch_id"), F.lit(False))
     dynamic = F.when(F.col("pos") > F.col("first_pos"), rules.node_in_batch).when(later, rules.node_in_store)
     # the first batch that brings a text accepts it, unless the store had it: then no batch does
-    judged = passed.join(keyed, ["norm_text", "batch_id"]).withColumn("reason", dynamic)
-    columns = [*rows.columns, "reason"]
-    both = judged.select(columns).unionByName(rows.where("static_reason IS NOT NULL").withColumn("reason", F.col("static_reason")).select(columns))
+    key = F.when(F.col("static_reason").isNull(), F.col("norm_text"))
+    both = rows.withColumn("_key", key).join(keyed.withColumnRenamed("norm_text", "_key"), ["_key", "batch_id"], "left")
+    both = both.select(*rows.columns, F.coalesce("static_reason", dynamic).alias("reason"))
     accepted = F.col("reason").isNull()
     return both.withColumns({"accepted": accepted, "assigned_id": F.when(accepted, content_id(F.col("norm_text"), rules.graph_id)), "stored_tags": sanitize_tags(F.col("tags"), rules)}).drop("static_reason")
 
