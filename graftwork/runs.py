@@ -8,7 +8,7 @@ within. The number of buckets follows the number of rows, so a bucket holds abou
 been stored before, and looking up a batch reads the buckets its keys fall into and nothing else. When ``FAN``
 runs of like size have come together they are merged into one, so a row is written again once for each FAN-fold growth.
 
-``lookup`` runs inside tasks: it reads the row groups of one bucket's files that may hold the asked keys.
+``Bucket`` runs inside tasks: it reads, through Arrow's file systems, the row groups of one bucket's files that may hold the asked keys.
 """
 
 from __future__ import annotations
@@ -81,6 +81,12 @@ class Catalogue:
                 fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/version-{v:09d}.json"), False)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme and authority, so that it means the same in every task."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def bucket_of(key: Column, bits: int) -> Column:
     return F.shiftrightunsigned(key, 64 - bits).cast("int") if bits else F.lit(0)
 
@@ -93,8 +99,8 @@ class Runs:
     """Rows (key BIGINT, ...) of one schema."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str, bucket_rows: int = 1 << 18):
-        self.spark, self.path, self.schema, self.bucket_rows = spark, path, schema, bucket_rows
-        self.catalogue = Catalogue(spark, f"{path}/catalogue")
+        self.spark, self.path, self.schema, self.bucket_rows = spark, qualified(spark, path), schema, bucket_rows
+        self.catalogue = Catalogue(spark, f"{self.path}/catalogue")
         self.state = self.catalogue.load() or {"next": 0, "runs": []}
 
     def _write(self, rows: DataFrame, n: int) -> dict:
@@ -144,7 +150,7 @@ class Bucket:
     def __init__(self, places: list[tuple[str, int]], number: int, bits: int):
         self.files, self.held, self.rows, self.bytes = [], {}, 0, 0
         for path, own in places:
-            fs, at = pafs.FileSystem.from_uri(path)
+            fs, at = pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
             folder = f"{at}/bucket={number >> (bits - own)}"
             for f in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
                 if f.base_name.endswith(".parquet"):
