@@ -29,8 +29,8 @@ from graftwork.scratch import Scratch
 
 RANGE_KEYS = 1 << 17
 NEVER, NO_ROW = np.iinfo(np.int64).max, np.iinfo(np.int64).min
-#: References of one packed vector, at most.
-VECTOR = 1 << 16
+#: References of one packed vector, at most; and those that a task gathers before it packs them.
+VECTOR, GATHERED = 1 << 16, 1 << 18
 REFERENCE = np.dtype([("key", "<i8"), ("high", "<i8"), ("low", "<i8"), ("at", "<i8"), ("row_id", "<i8")])
 PARENT = "key long, high long, low long, since long, until long"
 
@@ -44,11 +44,23 @@ def _halves(hex_: Column) -> list[Column]:
     return [F.xxhash64(hex_).alias("key"), *(F.conv(F.substring(hex_, at, 16), 16, -10).cast("long").alias(name) for at, name in ((1, "high"), (17, "low")))]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Larger batches: with many ranges a small one would fall apart into vectors of single rows."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= GATHERED:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _packed(bits: int):
     """src_table, ref_field, key, high, low, at, row_id -> the same by bucket (-1: no key), packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _gathered(batches):
             kinds = [b[c].dictionary_encode() for c in ("src_table", "ref_field")]
             kind = kinds[0].indices.to_numpy().astype(np.int64) * max(1, len(kinds[1].dictionary)) + kinds[1].indices.to_numpy()
             rows = np.zeros(b.num_rows, REFERENCE)
