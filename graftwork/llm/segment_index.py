@@ -43,6 +43,8 @@ RARE = 8192
 SKETCH_BITS = 63
 #: Lengths from here on are stored as this one and rule nothing out.
 LONGEST = (1 << 15) - 1
+#: Segments that a task gathers before it packs them.
+GATHERED = 1 << 18
 #: Segments of an average text: only the first guess of how many buckets a run needs.
 SEGMENTS = 16
 SEGMENT = np.dtype([("key", "<i8"), ("ref", "<i8"), ("sketch", "<i8"), ("size", "<i2"), ("place", "<i2")])
@@ -108,13 +110,25 @@ def _segment_rows(frozen):
     return run
 
 
+def _gathered(parts: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """Larger arrays: with many buckets a small one would fall apart into single segments."""
+    held: list[np.ndarray] = []
+    for part in parts:
+        held.append(part)
+        if sum(map(len, held)) >= GATHERED:
+            yield np.concatenate(held)
+            held = []
+    if held:
+        yield np.concatenate(held)
+
+
 def _probe_rows(frozen, bits: int):
     """text -> segments packed by the bucket that they fall into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in _slices(batches):
-            s = np.sort(frozen.value.segments(Words(b["text"]), seen), order="key")
+        for held in _gathered(frozen.value.segments(Words(b["text"]), seen) for b in _slices(batches)):
+            s = held[np.argsort(held["key"], kind="stable")]
             at = (s["key"].view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(s), np.int64)
             first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(s) else np.empty(0, np.int64)
             parts = [s[x:y].tobytes() for x, y in zip(first, np.r_[first[1:], len(s)], strict=True)] if len(s) else []
